@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,11 +19,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each SparkContext, so that Python workers can import it anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cellgauge_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(os.path.dirname(here))
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="cellgauge-")), "cellgauge_llm.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder in (os.path.dirname(here), here):
+            for name in sorted(os.listdir(folder)):
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), top))
+    sc.addPyFile(path)
+    sc._cellgauge_shipped = True
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor costs a reread, not a recomputation."""
 
     def __init__(self, spark: SparkSession, owner: str):
         self.spark = spark
+        ship(spark)
         self.root = f"{shared_folder(spark)}/{owner}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

@@ -31,16 +31,22 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, text, n_lines, n_dropped, new_text: one row for each row of docs(doc_id, text)."""
+def _marked(docs: DataFrame, min_chars: int) -> tuple[DataFrame, Column, Column]:
+    """docs with all its columns in ``_row`` and the positions to drop in ``_drops``; the lines kept and all lines."""
     scratch = Scratch(docs.sparkSession, "lines")
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_th", F.xxhash64("text"))
+    base = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
+        docs["doc_id"].alias("_id"),
+        F.coalesce(docs["text"], F.lit("")).alias("_text"),
+        F.xxhash64(docs["text"]).alias("_hash"),
+    )
     lines = (
-        base.where(F.col("doc_id").isNotNull())
-        .select("doc_id", "_th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        .select("doc_id", "_th", "pos", line_key(F.col("line")).alias("key"))
+        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("th"))
+        .where(F.col("doc_id").isNotNull())
+        .select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        .select("doc_id", "th", "pos", line_key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
-        .select("doc_id", "_th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+        .select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
     lines = scratch.save(lines, "lines")
     repeated = (
@@ -50,20 +56,27 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
         .drop("last")
     )
     repeated = scratch.save(repeated, "repeated")
-    drops = (
-        lines.join(repeated, ["h1", "h2"])
-        .where("doc_id > keeper")
-        .groupBy("doc_id", "_th")
-        .agg(F.collect_set("pos").alias("_drops"))
-        .withColumnRenamed("_th", "_dth")
-        .withColumnRenamed("doc_id", "_did")
-    )
-    parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("_drops"), i))
-    return base.join(drops, (F.col("doc_id") == F.col("_did")) & (F.col("_th") == F.col("_dth")), "left").select(
-        "doc_id",
-        "text",
+    drops = lines.join(repeated, ["h1", "h2"]).where("doc_id > keeper").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_drops"))
+    marked = base.join(drops, (F.col("_id") == F.col("doc_id")) & (F.col("_hash") == F.col("th")), "left").drop("doc_id", "th")
+    parts = F.split("_text", "\n")
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_drops"), i)), "\n")
+    return marked, F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(kept), parts
+
+
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc_id, n_lines, n_dropped, new_text: one row for each row of docs(doc_id, text)."""
+    marked, kept, parts = _marked(docs.select("doc_id", "text"), min_chars)
+    return marked.select(
+        F.col("_id").alias("doc_id"),
         F.size(parts).cast("long").alias("n_lines"),
         F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("_drops").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("new_text"),
+        kept.alias("new_text"),
     )
+
+
+def cleaned(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with its columns as they are, but for text, and n_chars where there is one; a null text stays null."""
+    marked, kept, _ = _marked(docs, min_chars)
+    kept = F.when(F.col("_row")["text"].isNotNull(), kept)
+    new = {"text": kept, "n_chars": F.when(F.col("_drops").isNull(), F.col("_row")["n_chars"]).otherwise(F.length(kept)) if "n_chars" in docs.columns else None}
+    return marked.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col("_row")[f.name]).alias(f.name) for f in docs.schema.fields])

@@ -7,9 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 
+KINDS = {
+    "string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "date": T.DateType(),
+    "timestamp": T.TimestampType(),
+}
+
+
 @dataclass(frozen=True)
 class Table:
-    """``columns`` is a DDL string; ``references`` maps a column to (parent table, parent key)."""
+    """``columns`` lists names and types; ``references`` maps a column to (parent table, parent key)."""
 
     name: str
     key: str
@@ -19,7 +25,8 @@ class Table:
 
     @property
     def schema(self) -> T.StructType:
-        return T._parse_datatype_string(self.columns)
+        fields = (c.split() for c in self.columns.split(","))
+        return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in fields])
 
     @property
     def is_event(self) -> bool:

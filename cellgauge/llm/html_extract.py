@@ -43,6 +43,7 @@ NOISE = re.compile(
     r"|newsletter|notice|overlay|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?=$|[\s_-])",
     re.I,
 )
+CUT = re.compile(r"<(?:[A-Za-z/!?][^<>]*)?\Z")
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 SIGMA = 1.5
 
@@ -125,9 +126,22 @@ class Lines(HTMLParser):
                 return True
         return False
 
+    def parse_marked_section(self, i, report=1):
+        """``<![...>`` has no meaning in HTML: a comment, whatever is in it."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
+    @staticmethod
+    def finished(html: str) -> str:
+        """Without a comment or tag that the page's end cuts off."""
+        at = html.rfind("<!--")
+        if at >= 0 and html.find("-->", at) < 0:
+            html = html[:at]
+        return CUT.sub("", html)
+
     def read(self, html: str) -> list[tuple[str, int, int, int]]:
         self.begin()
-        self.feed(html)
+        self.feed(self.finished(html))
         self.close()
         self.flush_line()
         return self.lines

@@ -40,10 +40,11 @@ NEVER = frozenset(
 ROOTS = frozenset(("article", "main"))
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adslot|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|menu|modal|nav|navbar|navigation"
-    r"|newsletter|notice|overlay|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?=$|[\s_-])",
+    r"|alert|newsletter|notice|overlay|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?=$|[\s_-])",
     re.I,
 )
 CUT = re.compile(r"<(?:[A-Za-z/!?][^<>]*)?\Z")
+PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?=$|[\s_-])", re.I)  # not in an article, which may have its own
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 SIGMA = 1.5
 
@@ -62,6 +63,7 @@ class Lines(HTMLParser):
         self.tags = 0
         self.stack: list[tuple[str, int, int, int]] = []  # tag, number, root element, whether it is never part of a text
         self.count = 0
+        self.roots: dict[int, str] = {}
 
     def flush_line(self):
         if self.parts:
@@ -92,8 +94,10 @@ class Lines(HTMLParser):
             # An element left open before it does not swallow the article.
             if never and not any(t in ROOTS for t, *_ in self.stack):
                 never = 0
-            root = root or self.count
-        elif tag in NEVER or (tag == "header" and not root) or self.noisy(attrs):
+            if not root or (tag == "article" and self.roots[root] == "main"):
+                root = self.count
+                self.roots[root] = tag
+        elif tag in NEVER or (not root and (tag == "header" or self.noisy(attrs, PAGE_HEADER))) or self.noisy(attrs):
             never = 1
         self.stack.append((tag, self.count, root, never))
 
@@ -117,10 +121,10 @@ class Lines(HTMLParser):
             self.parts.append(data)
 
     @staticmethod
-    def noisy(attrs) -> bool:
+    def noisy(attrs, words=NOISE) -> bool:
         for name, value in attrs:
             if name in ("class", "id"):
-                if value and NOISE.search(value):
+                if value and words.search(value):
                     return True
             elif name == "role" and value in NOISE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
@@ -181,7 +185,8 @@ def main_text(parser: Lines, html: str | None) -> str:
     content = content_lines(smoothed([len(t) / (1 + tags) for t, tags, _, _ in lines]))
     roots = {root for _, _, _, root in lines if root}
     if roots:
-        chosen = {root for (_, _, _, root), c in zip(lines, content) if root and c} or roots
+        roots = {root for root in roots if parser.roots[root] == "article"} or roots
+        chosen = {root for (_, _, _, root), c in zip(lines, content) if c} & roots or roots
         return "\n\n".join(t for t, _, _, root in lines if root in chosen)
     mass: dict[int, float] = {}
     for (t, _, number, _), c in zip(lines, content):

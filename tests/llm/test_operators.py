@@ -339,6 +339,8 @@ def test_op9_pages(spark):
     parser = html_extract.Lines()
     for cut in ("<b", "</", "<p class='x", "<!-- no > end", "<", "<!DOC"):
         assert html_extract.main_text(parser, "<p>text</p>" + cut) == "text"
+    outer = "<div class='site-header'><p>site</p></div><main><p>" + "teaser " * 9 + "</p><article><header><h1>Title</h1></header><p>text</p></article><div id=comments><p>no</p></div></main>"
+    assert html_extract.main_text(parser, outer) == "Title\n\ntext"
     for odd in ("<![bad>text", "<?php x ?>text", "text<![CDATA[", "<p>" * 3000 + "text"):
         assert html_extract.main_text(parser, odd) == "text"
     assert all(r["n_chars"] == len(r["text"]) for r in html_extract.extract_pages(df).collect())

@@ -10,10 +10,12 @@ band with a probability of 5e-11.
 Texts with the same set are one class, represented by its smallest doc_id; only
 representatives meet in buckets.  A bucket is first linked to one member (its centre), so
 a bucket of n near copies makes n - 1 pairs and not n * n.  After the components of those
-links, only pairs of one bucket that lie in different components are left to compare;
-further rounds with other centres leave few, and those are all compared.  No pair of a
-bucket is skipped but pairs that are connected already.  Every link is confirmed on the
-two full sets.
+links, only pairs of one bucket that lie in different components are left to compare.
+Of these, pairs go whose overlap cannot reach the threshold: a document's overlap with
+another component is at most the number of its shingles that occur outside its own, which
+is counted exactly.  All pairs that remain are compared, once each.  No pair of a bucket
+is skipped but those connected already or bounded so.  Every link is confirmed on the two
+full sets.
 
 Defined results: a text without words has no shingles and is linked with nothing; a row
 with a null doc_id is linked with nothing and kept; rows that repeat a doc_id are one
@@ -36,7 +38,8 @@ from .scratch import Scratch
 SHINGLE = 5
 PERCENT = 85
 BINS, BANDS, ROWS = 128, 32, 4
-CENTRE_ROUNDS = 3
+CENTRE_ROUNDS = 2
+PRUNE_ROUNDS = 3
 ROUND_KEYS = tk.keys64(2 * BINS, 21)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -101,6 +104,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
+def _mixed(rows: DataFrame, least: int = 2) -> DataFrame:
+    """Rows of the buckets whose members lie in several components."""
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"))
+    return rows.join(mixed.where(F.expr("lo < hi") & (F.col("k") >= least)).select("key"), "key")
+
+
+def _linkable(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows that may still have a link, with s, the document's shingles that some other component has too.
+
+    An overlap is at most the smaller s of both sides, and must be percent / (100 + percent) of the summed sizes.
+    """
+    members = rows.select("id", "c").distinct()
+    grams = members.join(sets, "id").select("id", "c", F.explode("set").alias("g"))
+    common = grams.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
+    found = grams.join(common, "g").groupBy("id").agg(F.count("*").alias("s"))
+    rows = rows.drop("s").join(found, "id")
+    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "key").where(F.lit(100 + percent) * F.col("s") >= F.lit(percent) * (F.col("n") + F.col("least"))).drop("least")
+    return _mixed(rows)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, centre_rounds: int = CENTRE_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -118,44 +142,48 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, centre_rounds: int
 
     banded = marks.where(usable).join(copies.distinct(), "doc_id", "left_anti")
     banded = banded.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    shared = scratch.save(shared, "shared")
+    shared = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    shared = scratch.save(shared.select("key", "size"), "shared")
     buckets = scratch.save(banded.join(shared, "key").dropDuplicates(["key", "id"]), "buckets")
-    ids = scratch.save(buckets.select("id").distinct(), "ids")
+    ids = scratch.save(buckets.groupBy("id").agg(F.sum("size").alias("crowd")), "ids")
     sets = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
     sets = scratch.save(sets.mapInArrow(_sets, f"id {id_type}, set array<long>"), "sets")
 
     similar_size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    comp = links = tried = None
-    left = buckets
-    for r in range(centre_rounds + 1):
-        if comp is not None:
-            known = comp.select(F.col("node").alias("id"), "component")
-            left = buckets.join(known, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            # A bucket of two was settled by its only pair.
-            mixed = left.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"))
-            mixed = scratch.save(mixed.where("lo < hi and k > 2").select("key"), f"mixed{r}")
-            if mixed.isEmpty():
-                break
-            left = scratch.save(left.join(mixed, "key"), f"left{r}")
-        else:
-            left = left.withColumn("c", F.col("id"))
-        x = left.select("key", F.col("id").alias("x"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        y = left.select("key", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        if r < centre_rounds:
-            first = F.min(F.struct(F.xxhash64("key", "y", F.lit(r)), "y", "nb", "cb")).alias("s")
-            y = scratch.save(y.groupBy("key").agg(first).select("key", "s.y", "s.nb", "s.cb"), f"centres{r}")
-            pairs = x.join(y, "key").where((F.col("ca") != F.col("cb")) & similar_size)
-        else:
-            pairs = x.join(y, "key").where((F.col("x") < F.col("y")) & (F.col("ca") != F.col("cb")) & similar_size)
+
+    def verified(pairs: DataFrame, step: str) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"pairs{r}")
-        found = scratch.save(_verified(pairs, sets, percent), f"links{r}")
-        links = found if links is None else links.union(found)
-        tried = pairs if tried is None else tried.union(pairs)
+        return scratch.save(_verified(scratch.save(pairs, f"pairs_{step}"), sets, percent), f"links_{step}")
+
+    def centred(rows: DataFrame, rank, step: str) -> DataFrame:
+        """Links of every member of a bucket with the member of the highest rank."""
+        x = rows.select("key", F.col("id").alias("x"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        top = F.max(F.struct(rank, F.col("id").alias("y"), F.col("n").alias("nb"), F.col("c").alias("cb"))).alias("s")
+        y = scratch.save(rows.groupBy("key").agg(top).select("key", "s.y", "s.nb", "s.cb"), f"centres_{step}")
+        return verified(x.join(y, "key").where((F.col("ca") != F.col("cb")) & similar_size), step)
+
+    # A member that shares crowded buckets is close to many: the best first centre.
+    links = centred(buckets.join(ids, "id").withColumn("c", F.col("id")), F.struct("crowd", F.xxhash64("id")), "0")
+    for r in range(1, centre_rounds + 1):
         comp = connected_components(links, scratch, f"round{r}_")
+        known = comp.select(F.col("node").alias("id"), "component")
+        left = buckets.join(known, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+        left = scratch.save(_mixed(left, 3), f"left{r}")  # a bucket of two was settled by its only pair
+        if left.isEmpty():
+            break
+        if r < centre_rounds:
+            links = links.union(centred(left, F.xxhash64("key", "id", F.lit(r)), str(r)))
+            continue
+        for i in range(PRUNE_ROUNDS):
+            left = scratch.save(_linkable(left, sets, percent), f"linkable{i}")
+        keys = left.groupBy("id").agg(F.collect_list("key").alias("keys"))
+        left = left.join(keys, "id")
+        x = left.select("key", F.col("id").alias("x"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("keys").alias("ka"))
+        y = left.select("key", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("keys").alias("kb"))
+        enough = F.lit(100 + percent) * F.least("sa", "sb") >= F.lit(percent) * (F.col("na") + F.col("nb"))
+        once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")  # in the first bucket that both share
+        links = links.union(verified(x.join(y, "key").where((F.col("x") < F.col("y")) & (F.col("ca") != F.col("cb")) & enough & once), "rest"))
+        comp = connected_components(links, scratch, "last_")
 
     known = comp.select(F.col("node").alias("rep"), "component")
     out = members.join(known, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))

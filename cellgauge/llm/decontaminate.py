@@ -198,9 +198,9 @@ def indexes(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator
         ids = [i for i, _ in block]
         grams, tokens = item_grams([t for _, t in block])
         whole = build_index(ids, grams, tokens)
-        counts = docs.select("text").mapInArrow(_counted(sc.broadcast(whole)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
+        counts = docs.select("text").mapInArrow(_counted(sc.broadcast(whole)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
         held = np.zeros(len(whole.grams), np.int64)
-        held[counts["gram"]] = counts["n"]
+        held[counts["gram"].to_numpy()] = counts["n"].to_numpy()
         seeds = []
         for g in grams:
             rank = np.lexsort((g, held[np.searchsorted(whole.grams, g)]))

@@ -80,11 +80,13 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndar
     ship(labelled.sparkSession)
     wanted = labelled.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     found = sampled(wanted, rows).select("text", "lang").mapInArrow(_counted, "lang string, bucket long, n long")
-    found = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(found["lang"].unique())
+    found = found.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().combine_chunks()
+    langs = np.array(found["lang"].to_pylist(), dtype=object)
+    names = sorted(set(langs))
     counts = np.zeros((1 << BUCKET_BITS, len(names)))
-    which = {x: i for i, x in enumerate(names)}
-    counts[found["bucket"], found["lang"].map(which)] = found["n"]
+    bucket, n = found["bucket"].to_numpy(), found["n"].to_numpy()
+    for i, name in enumerate(names):
+        counts[bucket[langs == name], i] = n[langs == name]
     counts += SMOOTHING
     return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 

@@ -175,17 +175,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = sampled(known, rows).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(2)).cast("int"))
     # The sample is bounded by ``rows``, so it may be broadcast.
     train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "fold", "toxic")
-    found = train.mapInArrow(_counted, "kind long, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = train.mapInArrow(_counted, "kind long, bucket long, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((4, BUCKETS))
-    counts[found["kind"], found["bucket"]] = found["n"]
+    counts[found["kind"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
     halves = [token_scores(counts[2 * f + 1], counts[2 * f]) for f in (0, 1)]
     scores, rate = token_scores(counts[1] + counts[3], counts[0] + counts[2])
     shared = sc.broadcast(halves)
-    rows_ = train.mapInArrow(_featured(shared), "f1 double, f2 double, f3 double, toxic int").toPandas()
-    y = rows_["toxic"].to_numpy(float)
+    rows_ = train.mapInArrow(_featured(shared), "f1 double, f2 double, f3 double, toxic int").toArrow()
+    y = rows_["toxic"].to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         return Model(scores, rate, None)
-    x = np.column_stack([np.ones(len(y)), rows_[["f1", "f2", "f3"]].to_numpy(float)])
+    x = np.column_stack([np.ones(len(y)), *(rows_[f].to_numpy() for f in ("f1", "f2", "f3"))])
     return Model(scores, rate, logistic(x, y))
 
 

@@ -25,8 +25,9 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 32
 SHARD_SLOTS = 16384
-BUCKET_ROWS = 4096
-ROUNDS = 24
+BUCKET_ROWS = 512
+ROUNDS = 16
+TASK_SLOTS = 1 << 19
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,9 +87,11 @@ def mix_sources(
     placed = placed.withColumn("_rn", F.row_number().over(within)).withColumn(
         "_in", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     )
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2"))).withColumn(
-        "_start", F.col("_from") + F.col("_in")
+    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2"))).select(
+        "doc_id", "source", "size", "_b", "_rn", (F.col("_from") + F.col("_in")).alias("_start")
     )
+    # Written tables between the steps keep each plan small and a lost executor's work with it.
+    placed = scratch.save(placed, "placed")
 
     # Source counts of each shard.
     whole = Window.partitionBy()
@@ -108,17 +111,19 @@ def mix_sources(
     rest = F.when(F.col("_rest") > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest("_rest", F.lit(1))), drawn))).otherwise(0)
     shard = shard.withColumn("_count", F.col("_base") + rest)
     earlier = Window.partitionBy("source").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    shard = shard.withColumn("_first", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    shard = scratch.save(shard.withColumn("_first", F.coalesce(F.sum("_count").over(earlier), F.lit(0))), "shards")
 
     # Slots, each with the block it takes.
-    slots = shard.where("_count > 0 and _blocks > 0").select(
+    # A few shard rows make all slots, so they are dealt out by the number of slots, not by their own size.
+    tasks = max(1, -(-total["t"] // (block * TASK_SLOTS)))
+    slots = shard.where("_count > 0 and _blocks > 0").repartition(tasks, "source", "_shard").select(
         "source", "_blocks", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_count") - 1)).alias("_slot")
     )
     slots = slots.where(F.col("_slot") < F.col("_blocks") * most).select(
         "source", permuted(F.col("_slot") % F.col("_blocks"), F.col("_blocks"), F.lit(seed), F.col("source")).alias("_block")
     )
     times = slots.groupBy("source", "_block").agg(F.count("*").alias("_times"))
-    times = times.select(F.col("source").alias("_s3"), F.col("_block").alias("_k3"), "_times")
+    times = scratch.save(times.select(F.col("source").alias("_s3"), F.col("_block").alias("_k3"), "_times"), "times")
 
     end = F.col("_start") + F.col("size")
     span = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_start") / block), F.floor((end - 1) / block)))

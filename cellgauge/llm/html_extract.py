@@ -3,9 +3,9 @@
 Events of the standard library's parser stream into lines: a line is the text between two
 block boundaries, with the number of tags it holds and the element it stands in.  The
 ratios of text to tags are smoothed with a Gaussian over neighbouring lines, and lines at
-or over the threshold (mean plus half a standard deviation of two clusters' boundary, see
-``content_lines``) are content.  Content lines select regions: the page's article or main
-elements that hold some, else the elements whose text is mostly content lines.  A
+or over the boundary of two clusters are content.  Content lines select regions: the page's
+articles (or, without any, main elements) that hold some, else the elements whose text is
+mostly content lines.  A
 region's lines all belong to the text, short ones too, but for what is no part of it
 anywhere: menus, page headers and footers, sidebars, notices, adverts, forms, comments.
 

@@ -1,18 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: seeds of token pairs, then Smith-Waterman alignment.
 
-Tokens are runs of letters, A-Z lower-cased, so punctuation and case are no edits.  One
-pass counts, for every n-gram of the test items, the documents that hold it; an item's
-seeds are its rarest half of n-grams (rarest within the item, so an item that leaked into
-a third of the corpus has seeds too).  A second pass joins documents to items through
-seeds; a document with ``MIN_SEEDS`` of an item's seeds is aligned with it around the
-hits, and contaminated if the local alignment reaches ``LEAST_SHARE`` of the score of the
-item aligned with itself.
+Tokens are runs of letters, A-Z lower-cased, so punctuation and case are no edits.  A
+document is contaminated if its local alignment with an item reaches ``LEAST_SHARE`` of
+the score of the item aligned with itself.
+
+Seeds lose no such document.  An alignment of share s of an item of n tokens has k matches
+and at most 2k - 2sn edits, so of the k - 1 steps from one match to the next at most
+k - sn have two edits or more, and at least sn - 1 have one or none.  Such a step joins
+tokens one or two apart in the item to tokens one or two apart in the document.  All pairs
+of tokens one or two apart are seeds, common or rare; an item is aligned with a document
+around the places where enough pairs, of different places in both, lie near each other.
 
 The test items go out in blocks of at most ``BLOCK_BYTES`` of text: each block is
 broadcast and costs one pass, whatever the number of items.  Documents are never
 shuffled.
 
-Defined results: items without tokens match nothing, and neither do null or empty
+Defined results: at least two tokens of an item must meet, or the only one it has; items without tokens match nothing, and neither do null or empty
 documents; a null item_id or doc_id is carried as it is; repeated items are each found;
 rows repeat as they do in the input; other columns are not read.
 """
@@ -30,32 +33,34 @@ from . import textkit as tk
 from .scratch import Scratch, ship
 from .toxicity import GAPS
 
-N = 3
-SEED_SHARE, LEAST_SEEDS_KEPT, MIN_SEEDS = 0.5, 8, 2
+STEPS = (1, 2)
 LEAST_SHARE = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_BYTES = 32 << 20
 FILTER_BITS = 20
+CHUNK_HITS = 1 << 21
 
 
 @dataclass(frozen=True)
 class Index:
-    """Sorted n-gram hashes, a bitmap over their top bits, and for each hash its items."""
+    """Sorted seed hashes, a bitmap over their top bits, and for each hash its items and the seed's places there."""
 
-    grams: np.ndarray
+    seeds: np.ndarray
     bitmap: np.ndarray
     first: np.ndarray
     items: np.ndarray
+    places: np.ndarray
     tokens: list[np.ndarray]
+    sizes: np.ndarray
     ids: list
 
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the hashes that are in the index, and their numbers there."""
         at = np.flatnonzero(self.bitmap[hashes >> np.uint64(64 - FILTER_BITS)])
-        if not len(self.grams) or not len(at):
+        if not len(self.seeds) or not len(at):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        number = np.minimum(np.searchsorted(self.grams, hashes[at]), len(self.grams) - 1)
-        hit = self.grams[number] == hashes[at]
+        number = np.minimum(np.searchsorted(self.seeds, hashes[at]), len(self.seeds) - 1)
+        hit = self.seeds[number] == hashes[at]
         return at[hit], number[hit]
 
 
@@ -64,27 +69,39 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, owner, tk.span_hashes(data, starts, ends)
 
 
-def build_index(ids: list, grams: list[np.ndarray], tokens: list[np.ndarray]) -> Index:
-    hashes = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    order = np.lexsort((owner, hashes))
-    hashes, owner = hashes[order], owner[order]
+def pair_hashes(tokens: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of each token and the one ``step`` after it."""
+    return tk.mix64(tokens[:-step] * tk.SHINGLE_KEYS[0] + tokens[step:] * tk.SHINGLE_KEYS[1])
+
+
+def item_tokens(texts: list) -> list[np.ndarray]:
+    out = []
+    for lo, hi, data, offsets in tk.slices(pa.array(texts, pa.string())):
+        _, _, owner, hashes = tokens_of(data, offsets)
+        out += np.split(hashes, np.searchsorted(owner, np.arange(1, hi - lo)))
+    return out
+
+
+def build_index(ids: list, tokens: list[np.ndarray]) -> Index:
+    """All seeds of the items; an item of one token has that token."""
+    hashes, items, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, t in enumerate(tokens):
+        for h in [t] if len(t) == 1 else [pair_hashes(t, step) for step in STEPS]:
+            hashes.append(h)
+            items.append(np.full(len(h), i))
+            places.append(np.arange(len(h)))
+    hashes, items, places = np.concatenate(hashes), np.concatenate(items), np.concatenate(places)
+    order = np.lexsort((places, items, hashes))
+    hashes, items, places = hashes[order], items[order], places[order]
     unique, first = np.unique(hashes, return_index=True)
     bitmap = np.zeros(1 << FILTER_BITS, dtype=bool)
     bitmap[unique >> np.uint64(64 - FILTER_BITS)] = True
-    return Index(unique, bitmap, np.append(first, len(hashes)), owner, tokens, ids)
+    return Index(unique, bitmap, np.append(first, len(hashes)), items, places, tokens, np.array([len(t) for t in tokens], np.int64), ids)
 
 
-def item_grams(texts: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct n-grams and tokens of each item."""
-    grams, tokens = [], []
-    for lo, hi, data, offsets in tk.slices(pa.array(texts, pa.string())):
-        _, _, owner, hashes = tokens_of(data, offsets)
-        g, at = tk.shingle_hashes(hashes, owner, hi - lo, N)
-        for i in range(hi - lo):
-            grams.append(np.unique(g[at[i] : at[i + 1]]))
-            tokens.append(hashes[owner == i])
-    return grams, tokens
+def seeds_needed(sizes: np.ndarray, least_share: float) -> np.ndarray:
+    """How many seeds an alignment of ``least_share`` has at least, by the item's size."""
+    return np.maximum(1, np.ceil(least_share * sizes - 1 - 1e-9)).astype(np.int64)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -102,47 +119,66 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _counted(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        counts = np.zeros(len(index.grams), np.int64)
-        for batch in batches:
-            for lo, hi, data, offsets in tk.slices(batch.column(0)):
-                _, _, owner, hashes = tokens_of(data, offsets)
-                grams, at = tk.shingle_hashes(hashes, owner, hi - lo, N)
-                where, number = index.lookup(grams)
-                text = np.searchsorted(at, where, side="right") - 1
-                once = np.unique(text * len(counts) + number)
-                counts += np.bincount(once % max(1, len(counts)), minlength=len(counts))
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], ["gram", "n"])
-
-    return run
-
+def seed_hits(index: Index, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens at which a seed begins, in order, and the seed's number."""
+    found = [index.lookup(hashes)] if (index.sizes == 1).any() else []
+    for step in STEPS:
+        at, number = index.lookup(pair_hashes(hashes, step))
+        inside = owner[at] == owner[at + step]
+        found.append((at[inside], number[inside]))
+    at, number = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(at, kind="stable")
+    return at[order], number[order]
 
-def matches(index: Index, hashes, grams, base: int, where: np.ndarray, number: np.ndarray, least_share: float):
-    """(item number, score, first token, token after the last) of the items found in one document.
 
-    ``hashes`` are the document's tokens; its n-grams begin at ``base`` in ``grams``, the hits are ``where`` there.
-    """
+def candidates(index: Index, owner: np.ndarray, at: np.ndarray, number: np.ndarray, least_share: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, item, tokens near which an alignment may begin) from the seeds found."""
     spread = index.first[number + 1] - index.first[number]
-    at = np.repeat(where, spread)
-    items = index.items[np.repeat(index.first[number], spread) + np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)]
-    order = np.lexsort((at, items))
-    at, items = at[order], items[order]
-    for item in np.unique(items):
-        lo, hi = np.searchsorted(items, [item, item + 1])
-        tokens, hits = index.tokens[item], at[lo:hi]
-        if len(np.unique(grams[hits])) < min(MIN_SEEDS, max(1, len(tokens) - N + 1)):
-            continue
-        reach = 2 * len(tokens)
-        hits = hits - base
-        for part in np.split(hits, np.flatnonzero(np.diff(hits) > reach) + 1):
-            a, b = max(0, int(part[0]) - reach), int(part[-1]) + reach
+    entry = np.repeat(index.first[number] - (np.cumsum(spread) - spread), spread) + np.arange(spread.sum())
+    at, item, place = np.repeat(at, spread), index.items[entry], index.places[entry]
+    n, needed, longest = len(index.sizes), seeds_needed(index.sizes, least_share), int(index.sizes.max(initial=1))
+    pair = owner[at] * n + item
+    # Different places in the item, anywhere in the text.
+    held, count = np.unique(np.unique(pair * longest + place) // longest, return_counts=True)
+    held = held[count >= needed[held % n]]
+    if not len(held):
+        return
+    inside = held[np.minimum(np.searchsorted(held, pair), len(held) - 1)] == pair
+    # Different places in the text, no farther apart than an alignment is long.
+    order = np.lexsort((at[inside], pair[inside]))
+    pair, at = pair[inside][order], at[inside][order]
+    new = np.ones(len(at), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (at[1:] != at[:-1])
+    pair, at = pair[new], at[new]
+    last = np.arange(len(at)) + needed[pair % n] - 1
+    end = np.minimum(last, len(at) - 1)
+    near = (last < len(at)) & (pair[end] == pair) & (at[end] - at <= reach_of(index.sizes[pair % n]))
+    pair, at = pair[near], at[near]
+    for part in np.split(np.arange(len(at)), np.flatnonzero(np.diff(pair)) + 1):
+        if len(part):
+            yield int(pair[part[0]] // n), int(pair[part[0]] % n), at[part]
+
+
+def reach_of(size):
+    """No alignment with a score above 0 is longer: k matches, k at most the item's size, pay for fewer than 2k edits."""
+    return 3 * size
+
+
+def matches(tokens: np.ndarray, hashes: np.ndarray, near: np.ndarray, least_share: float):
+    """(share, first token, token after the last) of one item's alignments in the document's tokens around ``near``, the best first, then left and right of it."""
+    reach, least = int(reach_of(len(tokens))), least_share * MATCH * len(tokens)
+    for part in np.split(near, np.flatnonzero(np.diff(near) > 2 * reach) + 1):
+        rest = [(max(0, int(part[0]) - reach), min(len(hashes), int(part[-1]) + reach))]
+        while rest:
+            a, b = rest.pop()
+            if MATCH * (b - a) < least:
+                continue
             score, end = align(tokens, hashes[a:b])
-            share = score / (MATCH * len(tokens))
-            if share >= least_share:
-                yield int(item), share, int(part[0]), a + end
+            if score < least or not score:
+                continue
+            _, back = align(tokens[::-1], hashes[a : a + end][::-1])
+            yield score / (MATCH * len(tokens)), a + end - back, a + end
+            rest += [(a, a + end - back), (a + end, b)]
 
 
 def found_in(texts: pa.Array, index: Index, least_share: float) -> list[list[dict]]:
@@ -150,18 +186,23 @@ def found_in(texts: pa.Array, index: Index, least_share: float) -> list[list[dic
     out = []
     for lo, hi, data, offsets in tk.slices(texts):
         starts, ends, owner, hashes = tokens_of(data, offsets)
-        grams, at = tk.shingle_hashes(hashes, owner, hi - lo, N)
-        where, number = index.lookup(grams)
-        text = np.searchsorted(at, where, side="right") - 1
+        first = np.searchsorted(owner, np.arange(hi - lo + 1))
+        at, number = seed_hits(index, hashes, owner)
         found: list[list[dict]] = [[] for _ in range(hi - lo)]
-        for t in np.unique(text):
-            mine = slice(*np.searchsorted(text, [t, t + 1]))
-            first = int(np.searchsorted(owner, t))
-            own = hashes[first : int(np.searchsorted(owner, t + 1))]
-            for item, share, a, b in matches(index, own, grams, at[t], where[mine], number[mine], least_share):
-                b = min(max(b, a + 1), len(own))
-                span = {"start": int(starts[first + a] - offsets[t]), "stop": int(ends[first + b - 1] - offsets[t])}
-                found[t].append({"item_id": index.ids[item], "score": share} | span)
+        # Whole texts with a bounded number of hits at a time.
+        upto = np.concatenate(([0], np.cumsum(index.first[number + 1] - index.first[number])))
+        cuts = np.searchsorted(at, first)
+        t = 0
+        while t < hi - lo:
+            u = max(t + 1, int(np.searchsorted(upto[cuts], upto[cuts[t]] + CHUNK_HITS, side="right")) - 1)
+            part = slice(cuts[t], cuts[u])
+            for text, item, near in candidates(index, owner, at[part], number[part], least_share):
+                base = int(first[text])
+                own = hashes[base : int(first[text + 1])]
+                for share, a, b in matches(index.tokens[item], own, near - base, least_share):
+                    span = {"start": int(starts[base + a] - offsets[text]), "stop": int(ends[base + b - 1] - offsets[text])}
+                    found[text].append({"item_id": index.ids[item], "score": share} | span)
+            t = u
         out += found
     return out
 
@@ -191,21 +232,10 @@ def blocks_of_items(benchmark: DataFrame, block_bytes: int) -> Iterator[list]:
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator:
-    """For each block of items its broadcast index of seeds, from counts over all documents."""
+    """For each block of items its broadcast index of seeds."""
     ship(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
     for block in blocks_of_items(benchmark, block_bytes):
-        ids = [i for i, _ in block]
-        grams, tokens = item_grams([t for _, t in block])
-        whole = build_index(ids, grams, tokens)
-        counts = docs.select("text").mapInArrow(_counted(sc.broadcast(whole)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-        held = np.zeros(len(whole.grams), np.int64)
-        held[counts["gram"].to_numpy()] = counts["n"].to_numpy()
-        seeds = []
-        for g in grams:
-            rank = np.lexsort((g, held[np.searchsorted(whole.grams, g)]))
-            seeds.append(g[rank[: max(LEAST_SEEDS_KEPT, int(np.ceil(SEED_SHARE * len(g))))]])
-        yield sc.broadcast(build_index(ids, seeds, tokens))
+        yield docs.sparkSession.sparkContext.broadcast(build_index([i for i, _ in block], item_tokens([t for _, t in block])))
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, least_share: float = LEAST_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -175,6 +175,44 @@ def test_op4_decontamination(spark, empty):
     assert decontaminate.decontaminate(empty, bench).count() == 0
 
 
+def full_share(item, text):
+    """Share of the best local alignment, over the whole matrix."""
+    a, b = item.split(), text.split()
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(max(0, row[j] + (2 if x == y else -1), row[j + 1] - 1, new[j] - 1))
+        row, best = new, max(best, *new)
+    return best / (2 * len(a))
+
+
+def test_op4_edited_and_partial_copies(spark):
+    r = random.Random(40)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 6))) for _ in range(60)]
+    bench = [(i, " ".join(r.choice(words) for _ in range(n))) for i, n in enumerate((1, 2, 3, 5, 12, 24, 24, 40))]
+    rows = []
+    for i, item in bench:
+        for share in (0.15, 0.2, 0.25, 0.3, 0.4):
+            for _ in range(6):
+                copy = [w if r.random() >= share else r.choice(["zzz", "zzz " + w, "", r.choice(words)]) for w in item.split()]
+                rows.append(copy)
+        w = item.split()
+        rows += [w[: len(w) // 2], w[len(w) // 2 :]] * 3  # one half leaks often
+        rows += [" ".join(w[j] + " zzz" * (j % 2) for j in range(len(w))).split()]
+    noise = lambda n: [r.choice(words) for _ in range(n)]
+    rows = [(i, " ".join(noise(r.randrange(30)) + x + noise(r.randrange(30)))) for i, x in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: {f["item_id"] for f in x["found"]} for x in decontaminate.decontaminate(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    # One token of two has a share of 0.5, but at least two must meet.
+    want = {d: {i for i, item in bench if full_share(item, t) >= (0.6 if len(item.split()) == 2 else 0.4)} for d, t in rows}
+    assert sum(map(len, want.values())) > 200
+    assert got == want
+    twice = spark.createDataFrame([(1, " ".join([bench[5][1]] + ["zzz"] * 60 + [bench[5][1]]))], "doc_id long, text string")
+    found = decontaminate.decontaminate(twice, spark.createDataFrame(bench[5:6], "item_id long, text string")).first()["found"]
+    assert sorted(f["start"] for f in found) == [0, len(bench[5][1]) + 1 + 60 * 4]
+
+
 def test_alignment_against_the_full_matrix():
     r = random.Random(4)
     for _ in range(50):

@@ -29,6 +29,7 @@ BUCKET_ROWS = 512
 ROUNDS = 16
 TASK_SLOTS = 1 << 19
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
@@ -63,39 +64,63 @@ def permuted(x: Column, n: Column, *salt: Column, rounds: int = ROUNDS) -> Colum
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x, swap)
 
 
-def mix_sources(
+def build_mix(
     docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 1
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: one row for each row of docs(doc_id, text, source)."""
+) -> tuple[DataFrame, DataFrame]:
+    """The written mix: shard, slot, source, block, text, pieces(_b, _rn, n), and the rows of docs by _src, _b, _rn
+    with doc_id, source, size, source_size, target."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     sizes = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    targets = scratch.save(source_targets(sizes, weights, most), "targets")
+    targets = source_targets(sizes, weights, most)
+    targets = targets.withColumn("_src", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    targets = scratch.save(targets, "targets")
     total = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()
     shards = max(1, -(-total["t"] // (block * shard_slots)))
     buckets = max(1, -(-total["n"] // BUCKET_ROWS))
 
-    placed = sizes.withColumn("_b", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)))
-    sums = placed.groupBy("source", "_b").agg(F.sum("size").alias("_s"))
+    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets))
+    sums = sizes.withColumn("_b", bucket).groupBy("source", "_b").agg(F.sum("size").alias("_s"))
     sums = sums.withColumn(
         "_from",
         F.coalesce(
             F.sum("_s").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ),
     ).select(F.col("source").alias("_s2"), F.col("_b").alias("_b2"), "_from")
-    within = Window.partitionBy("source", "_b").orderBy("doc_id", "size")
+    number = targets.select(F.col("source").alias("_s3"), "_src")
+    sums = sums.join(number, F.col("_s2").eqNullSafe(F.col("_s3"))).drop("_s3")
+
+    # Documents in their places, with their words.
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACES), lambda w: w != "")
+    placed = docs.select("doc_id", "source", "text").withColumn("_words", words).withColumn("size", F.size("_words").cast("long"))
+    placed = placed.select("doc_id", "source", "size", bucket.alias("_b"), F.array_join("_words", " ").alias("_text"))
+    within = Window.partitionBy("source", "_b").orderBy("doc_id", "size", F.xxhash64("_text"), "_text")
     placed = placed.withColumn("_rn", F.row_number().over(within)).withColumn(
         "_in", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     )
     placed = placed.join(sums, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2"))).select(
-        "doc_id", "source", "size", "_b", "_rn", (F.col("_from") + F.col("_in")).alias("_start")
+        "doc_id", "size", "_text", "_src", "_b", "_rn", (F.col("_from") + F.col("_in")).alias("_start")
     )
     # Written tables between the steps keep each plan small and a lost executor's work with it.
     placed = scratch.save(placed, "placed")
 
+    # Packed blocks: the pieces of documents that fall into a block, in their order.
+    first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block)
+
+    def piece(k):
+        lo = F.greatest(k * block - F.col("_start"), F.lit(0))
+        hi = F.least((k + 1) * block - F.col("_start"), F.col("size"))
+        text = F.array_join(F.slice("_words", (lo + 1).cast("int"), (hi - lo).cast("int")), " ")
+        return F.struct(k.alias("_k"), (F.col("_start") + lo).alias("_at"), (hi - lo).alias("n"), text.alias("text"))
+
+    pieces = placed.where("size > 0").withColumn("_words", F.split("_text", " "))
+    pieces = pieces.select("_src", "_b", "_rn", F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
+    pieces = pieces.select("_src", F.col("p._k").alias("_k"), F.struct("p._at", "_b", "_rn", "p.n", "p.text").alias("p"))
+    packed = pieces.groupBy("_src", "_k").agg(F.array_sort(F.collect_list("p")).alias("p"))
+
     # Source counts of each shard.
     whole = Window.partitionBy()
-    upto = Window.orderBy(F.col("source").asc_nulls_last())
+    upto = Window.orderBy("_src")
     plan = targets.withColumn("_e", F.col("target") / (block * shards)).withColumn("_base", F.floor("_e"))
     plan = plan.withColumn("_f", F.col("_e") - F.col("_base"))
     plan = plan.withColumn("_hi", F.sum("_f").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
@@ -110,30 +135,55 @@ def mix_sources(
 
     rest = F.when(F.col("_rest") > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest("_rest", F.lit(1))), drawn))).otherwise(0)
     shard = shard.withColumn("_count", F.col("_base") + rest)
-    earlier = Window.partitionBy("source").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    shard = scratch.save(shard.withColumn("_first", F.coalesce(F.sum("_count").over(earlier), F.lit(0))), "shards")
+    earlier = Window.partitionBy("_src").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    shard = shard.withColumn("_first", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    # No block more than ``most`` times; what is left of a shard's sources lies side by side, then is permuted.
+    shard = shard.withColumn("_count", F.greatest(F.lit(0), F.least("_count", F.col("_blocks") * most - F.col("_first"))))
+    of_shard = Window.partitionBy("_shard")
+    before = of_shard.orderBy("_src").rowsBetween(Window.unboundedPreceding, -1)
+    shard = shard.withColumn("_at", F.coalesce(F.sum("_count").over(before), F.lit(0))).withColumn("_all", F.sum("_count").over(of_shard))
+    shard = scratch.save(shard, "shards")
 
     # Slots, each with the block it takes.
     # A few shard rows make all slots, so they are dealt out by the number of slots, not by their own size.
     tasks = max(1, -(-total["t"] // (block * TASK_SLOTS)))
-    slots = shard.where("_count > 0 and _blocks > 0").repartition(tasks, "source", "_shard").select(
-        "source", "_blocks", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_count") - 1)).alias("_slot")
+    slots = shard.where("_count > 0 and _blocks > 0").repartition(tasks, "_src", "_shard").select(
+        "_src", "source", "_shard", "_blocks", "_all", "_at", "_first", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_i")
     )
-    slots = slots.where(F.col("_slot") < F.col("_blocks") * most).select(
-        "source", permuted(F.col("_slot") % F.col("_blocks"), F.col("_blocks"), F.lit(seed), F.col("source")).alias("_block")
+    slots = slots.select(
+        F.col("_src").alias("_src2"),
+        "source",
+        F.col("_shard").alias("shard"),
+        permuted(F.col("_at") + F.col("_i"), F.col("_all"), F.lit(seed), F.col("_shard")).alias("slot"),
+        permuted((F.col("_first") + F.col("_i")) % F.col("_blocks"), F.col("_blocks"), F.lit(seed), F.col("source")).alias("block"),
     )
-    times = slots.groupBy("source", "_block").agg(F.count("*").alias("_times"))
-    times = scratch.save(times.select(F.col("source").alias("_s3"), F.col("_block").alias("_k3"), "_times"), "times")
-
-    end = F.col("_start") + F.col("size")
-    span = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_start") / block), F.floor((end - 1) / block)))
-    pieces = placed.withColumn("_end", end).select("*", F.explode_outer(span).alias("_k"))
-    pieces = pieces.join(times, F.col("source").eqNullSafe(F.col("_s3")) & (F.col("_k") == F.col("_k3")), "left")
-    overlap = F.least("_end", (F.col("_k") + 1) * block) - F.greatest("_start", F.col("_k") * block)
-    taken = pieces.groupBy("source", "_b", "_rn", "doc_id", "size").agg(
-        F.coalesce(F.sum(overlap * F.col("_times")), F.lit(0)).cast("long").alias("taken")
+    # Blocks joined by index into the shards.  A few shard rows make all slots, so their estimated size says nothing.
+    mixed = packed.join(slots.hint("merge"), (F.col("_src") == F.col("_src2")) & (F.col("_k") == F.col("block"))).select(
+        "shard",
+        "slot",
+        "source",
+        "block",
+        F.array_join(F.col("p.text"), " ").alias("text"),
+        F.transform("p", lambda p: F.struct(p["_b"].alias("_b"), p["_rn"].alias("_rn"), p["n"].alias("n"))).alias("pieces"),
+        "_src",
     )
-    targets = targets.withColumnRenamed("source", "_s4")
-    return taken.join(targets, F.col("source").eqNullSafe(F.col("_s4"))).select(
-        "doc_id", "source", "size", "source_size", "target", "taken"
+    mixed = scratch.save(mixed, "mixed")
+    rows = placed.drop("_text", "_start").join(targets, "_src")
+    return mixed, rows
+
+
+def mixed_blocks(docs: DataFrame, *args, **kwargs) -> DataFrame:
+    """shard, slot, source, block, text: the mix itself, one row for each slot of each shard."""
+    return build_mix(docs, *args, **kwargs)[0].select("shard", "slot", "source", "block", "text")
+
+
+def mix_sources(
+    docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 1
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken: one row for each row of docs(doc_id, text, source).
+    ``taken`` is counted in the written mix."""
+    mixed, rows = build_mix(docs, weights, most, block, shard_slots, seed)
+    taken = mixed.select("_src", F.explode("pieces").alias("p")).groupBy("_src", "p._b", "p._rn").agg(F.sum("p.n").alias("_taken"))
+    return rows.join(taken, ["_src", "_b", "_rn"], "left").select(
+        "doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken")
     )

@@ -420,6 +420,35 @@ def test_op10_mix(spark, docs, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_op10_mixed_blocks(spark):
+    r = random.Random(11)
+    rows = [(i, " \t".join(f"d{i}w{j}" for j in range(r.randrange(0, 30))), r.choice(["a", "a", "b", None])) for i in range(120)] + [(200, None, "a"), (201, "", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.mixed_blocks(df, block=8, shard_slots=16).collect()
+    slots, texts, taken = {}, {}, {}
+    for x in mix:
+        slots.setdefault(x["shard"], []).append(x["slot"])
+        assert texts.setdefault((x["source"], x["block"]), x["text"]) == x["text"]
+        for w in x["text"].split(" "):
+            doc = int(w[1 : w.index("w")])
+            taken[doc] = taken.get(doc, 0) + 1
+    assert len(slots) > 3 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len({x["source"] for x in mix if x["shard"] == s}) > 1 for s in slots)
+    source, words = {i: s for i, _, s in rows}, {i: (t or "").split() for i, t, _ in rows}
+    for s in {s for s, _ in texts}:
+        blocks = {b: t.split(" ") for (x, b), t in texts.items() if x == s}
+        size = sum(len(w) for i, w in words.items() if source[i] == s)
+        assert all(len(t) == min(8, size - 8 * b) for b, t in blocks.items())
+        at = {}
+        for b, t in blocks.items():
+            for k, w in enumerate(t):
+                doc = int(w[1 : w.index("w")])
+                assert source[doc] == s
+                at.setdefault(doc, set()).add(b * 8 + k - words[doc].index(w))  # a document's words follow each other
+        assert all(len(v) == 1 for v in at.values())
+    assert {x["doc_id"]: x["taken"] for x in mixing.mix_sources(df, block=8, shard_slots=16).collect()} == {i: taken.get(i, 0) for i in words}
+
+
 def test_permutation(spark):
     from pyspark.sql import functions as F
 

@@ -9,6 +9,9 @@ mostly content lines.  A
 region's lines all belong to the text, short ones too, but for what is no part of it
 anywhere: menus, page headers and footers, sidebars, notices, adverts, forms, comments.
 
+End tags may be missing: a head ends at the first tag or text that cannot be in it, and a
+menu, sidebar, form or footer outside of an article hides lines only if its end tag comes.
+
 Defined results: a null or empty page has an empty text; a page cut off anywhere gives the
 text up to the cut; white space is what str.split takes as such; entities are decoded;
 repeated pages repeat; other columns are not read.
@@ -38,6 +41,8 @@ NEVER = frozenset(
     "aside audio button canvas datalist dialog embed footer form head iframe input map math menu nav noscript object option script select style svg template textarea title video".split()
 )
 ROOTS = frozenset(("article", "main"))
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+LEFT_OPEN = frozenset("aside footer form menu nav".split())  # outside of an article they hold only what their end tag closes
 NOISE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adslot|banner|breadcrumbs?|comments?|commentlist|cookies?|consent|disqus|footer|gdpr|menu|modal|nav|navbar|navigation"
     r"|alert|newsletter|notice|overlay|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?=$|[\s_-])",
@@ -64,6 +69,15 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, int, int, int]] = []  # tag, number, root element, whether it is never part of a text
         self.count = 0
         self.roots: dict[int, str] = {}
+        self.marks: dict[int, int] = {}  # lines before an element of LEFT_OPEN
+
+    def close_head(self):
+        """Ends a head that has no end tag, with all that is open in it."""
+        for i, (tag, *_) in enumerate(self.stack):
+            if tag == "head":
+                self.flush_line()
+                del self.stack[i:]
+                return
 
     def flush_line(self):
         if self.parts:
@@ -77,6 +91,8 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag == "body" or (self.stack and self.stack[-1][0] == "head" and tag not in IN_HEAD):
+            self.close_head()
         if tag == "br":
             self.parts.append(" ")
             return
@@ -97,6 +113,10 @@ class Lines(HTMLParser):
             if not root or (tag == "article" and self.roots[root] == "main"):
                 root = self.count
                 self.roots[root] = tag
+        elif tag in ("html", "body"):
+            pass
+        elif tag in LEFT_OPEN and not root and not never:
+            self.marks[self.count] = len(self.lines)
         elif tag in NEVER or (not root and (tag == "header" or self.noisy(attrs, PAGE_HEADER))) or self.noisy(attrs):
             never = 1
         self.stack.append((tag, self.count, root, never))
@@ -108,6 +128,11 @@ class Lines(HTMLParser):
         self.flush_line()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
+                mark = self.marks.get(self.stack[i][1])
+                if mark is not None:
+                    inside = self.lines[mark:]
+                    self.lines[mark:] = [line for line in inside if line[3]]
+                    self.tags += sum(line[1] for line in inside if not line[3])
                 del self.stack[i:]
                 return
 
@@ -117,6 +142,8 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.close_head()
         if not (self.stack and self.stack[-1][3]):
             self.parts.append(data)
 

@@ -12,7 +12,7 @@ learned from; ties go to the smaller language name; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ TRAIN_ROWS = 20000
 SMOOTHING = 0.1
 GRAM_KEYS = tk.keys64(8, 31) | np.uint64(1)
 UNKNOWN = "und"
+LEAST_SCORE = 0.3  # below it no language stands out: four languages share the rest
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -145,15 +146,28 @@ def identify(docs: DataFrame, folds: int = 5, rows: int = TRAIN_ROWS) -> DataFra
     return predict(texts, names, matrix).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def known_language(docs: DataFrame, folds: int = 5, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of docs, all columns, that are not rejected: a text without a letter is ``und`` and goes."""
+def known_language(docs: DataFrame, wanted: Collection[str] | None = None, least_score: float = LEAST_SCORE, folds: int = 5, rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of docs, all columns, that are not rejected.
+
+    A text goes if no language can be told (no letter), if its best language has less than
+    ``least_score`` of the probability, or if that language is not ``wanted`` (None: every
+    learned language is).  With nothing to learn from, every text with a letter stays.
+    """
     names, matrix = fit(docs.where(remainder(F.col("doc_id"), folds) != 0), rows)
     model = docs.sparkSession.sparkContext.broadcast(np.asfortranarray(matrix))
     text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, _ = classified(batch.column(text), names, model.value)
-            yield batch.filter(pa.array([x != UNKNOWN for x in best], pa.bool_()))
+            if names:
+                best, score = classified(batch.column(text), names, model.value)
+                keep = [x != UNKNOWN and s >= least_score and (wanted is None or x in wanted) for x, s in zip(best, score)]
+            else:
+                keep = []
+                for _, _, data, offsets in tk.slices(batch.column(text)):
+                    points, at = code_points(data, offsets)
+                    letters = np.concatenate(([0], np.cumsum(is_letter(points))))
+                    keep += (letters[at[1:]] > letters[at[:-1]]).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

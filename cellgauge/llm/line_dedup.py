@@ -1,9 +1,9 @@
 """Line dedup: explode normalised lines, hash, find hashes of several documents, reassemble by position.
 
 DataFrame functions only.  Lines move as 128-bit hashes; texts are shuffled once,
-for the reassembly.  A line in two or more documents is one whose smallest and
-largest doc_id differ, so the count needs two values per hash, combined before the
-shuffle however common the line is.  The table of repeated lines is written, so the
+for the reassembly.  Lines in ``least_docs`` distinct documents go.  For the usual two,
+these are the lines whose smallest and largest doc_id differ, so the count needs two
+values per hash, combined before the shuffle however common the line is.  The table of repeated lines is written, so the
 join that follows is a plain sort-merge join whose hot keys AQE can split.
 
 Defined results: a null or empty text is one empty line; a row with a null doc_id
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scratch import Scratch
 
 MIN_CHARS = 10
+LEAST_DOCS = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -31,7 +32,7 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(WHITE)))
 
 
-def _marked(docs: DataFrame, min_chars: int) -> tuple[DataFrame, Column, Column]:
+def _marked(docs: DataFrame, min_chars: int, least_docs: int) -> tuple[DataFrame, Column, Column]:
     """docs with all its columns in ``_row`` and the positions to drop in ``_drops``; the lines kept and all lines."""
     scratch = Scratch(docs.sparkSession, "lines")
     base = docs.select(
@@ -49,23 +50,26 @@ def _marked(docs: DataFrame, min_chars: int) -> tuple[DataFrame, Column, Column]
         .select("doc_id", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
     lines = scratch.save(lines, "lines")
-    repeated = (
-        lines.groupBy("h1", "h2")
-        .agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last"))
-        .where("keeper < last")
-        .drop("last")
-    )
+    if least_docs <= 2:
+        # Two documents are a smallest and a largest doc_id that differ.
+        repeated = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
+    else:
+        # Distinct documents of each hash: pairs are combined before the shuffle, then counted, again combined before it.
+        pairs = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+        repeated = pairs.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.count("one").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
     repeated = scratch.save(repeated, "repeated")
     drops = lines.join(repeated, ["h1", "h2"]).where("doc_id > keeper").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_drops"))
     marked = base.join(drops, (F.col("_id") == F.col("doc_id")) & (F.col("_hash") == F.col("th")), "left").drop("doc_id", "th")
     parts = F.split("_text", "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_drops"), i)), "\n")
-    return marked, F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(kept), parts
+    places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drops"))  # a hash set: linear in the lines
+    kept = F.array_join(F.transform(places, lambda i: F.get(F.col("_parts"), i)), "\n")
+    marked = marked.withColumn("_parts", parts)
+    return marked, F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(kept), F.col("_parts")
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, new_text: one row for each row of docs(doc_id, text)."""
-    marked, kept, parts = _marked(docs.select("doc_id", "text"), min_chars)
+    marked, kept, parts = _marked(docs.select("doc_id", "text"), min_chars, least_docs)
     return marked.select(
         F.col("_id").alias("doc_id"),
         F.size(parts).cast("long").alias("n_lines"),
@@ -74,9 +78,11 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFram
     )
 
 
-def cleaned(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with its columns as they are, but for text, and n_chars where there is one; a null text stays null."""
-    marked, kept, _ = _marked(docs, min_chars)
+def cleaned(docs: DataFrame, min_chars: int = MIN_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """docs with its columns as they are, but for text, and n_chars where there is one; a null text stays null.
+    Rows that lost lines and have no word left go."""
+    marked, kept, _ = _marked(docs, min_chars, least_docs)
     kept = F.when(F.col("_row")["text"].isNotNull(), kept)
     new = {"text": kept, "n_chars": F.when(F.col("_drops").isNull(), F.col("_row")["n_chars"]).otherwise(F.length(kept)) if "n_chars" in docs.columns else None}
+    marked = marked.where(F.col("_drops").isNull() | (F.length(F.btrim(kept, F.lit(WHITE))) > 0))
     return marked.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col("_row")[f.name]).alias(f.name) for f in docs.schema.fields])

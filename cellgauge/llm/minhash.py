@@ -19,7 +19,8 @@ full sets.
 
 Defined results: a text without words has no shingles and is linked with nothing; a row
 with a null doc_id is linked with nothing and kept; rows that repeat a doc_id are one
-document with that id, and each gets its component; other columns are not read.
+document with that id, compared by the text of the least hash, and each gets its
+component; other columns are not read.
 """
 
 from __future__ import annotations
@@ -146,7 +147,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, centre_rounds: int
     shared = scratch.save(shared.select("key", "size"), "shared")
     buckets = scratch.save(banded.join(shared, "key").dropDuplicates(["key", "id"]), "buckets")
     ids = scratch.save(buckets.groupBy("id").agg(F.sum("size").alias("crowd")), "ids")
-    sets = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
+    # Of several texts under one id the one of the least hash counts, whatever the order of rows.
+    sets = texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     sets = scratch.save(sets.mapInArrow(_sets, f"id {id_type}, set array<long>"), "sets")
 
     similar_size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
@@ -189,3 +191,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, centre_rounds: int
     out = members.join(known, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def without_copies(docs: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, all columns, but for near copies; the smallest doc_id of each group stays.
+
+    Documents are judged by their whole texts first, as ``whole`` (doc_id, text) has them if
+    every line of a row of docs comes from there: what is left of a copy whose lines went
+    looks like no copy any more.  Then what stays is judged by its own texts.  Rows that
+    repeat a doc_id and its text are one document and become one row; a null doc_id stays.
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+
+    def lines(df: DataFrame, id: str, name: str) -> DataFrame:
+        return df.select(F.col("doc_id").alias(id), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.xxhash64(x)).alias(name))
+
+    same = lines(docs, "id", "mine").join(lines(whole, "of", "all"), (F.col("id") == F.col("of")) & (F.size(F.array_except("mine", "all")) == 0))
+    same = scratch.save(same.groupBy("id").agg(F.count(F.lit(1)).alias("rows")), "same")
+    groups = near_duplicates(whole.select("doc_id", "text"), percent).where("n_shingles > 0").select("doc_id", "component_id").distinct()
+    groups = scratch.save(groups.join(same, F.col("doc_id") == F.col("id")).select("doc_id", "component_id"), "groups")
+    first = groups.groupBy("component_id").agg(F.min("doc_id").alias("first"))
+    gone = groups.join(first, "component_id").where("doc_id > first").select("doc_id").distinct()
+    left = scratch.save(docs.join(gone, "doc_id", "left_anti").select(*docs.columns), "left")
+
+    gone = near_duplicates(left, percent).where(~F.col("kept")).select("doc_id").distinct()
+    left = left.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = scratch.save(left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, "doc_id", "left_anti").unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)

@@ -312,7 +312,7 @@ def test_suffix_array_and_intervals():
     assert set(suffix_dedup.intervals(lcp)) == {(6, 3, 2, 3), (3, 0, 1, 4)}
 
 
-def test_op7_lines(docs, empty):
+def test_op7_lines(spark, docs, empty):
     keep = {}
     lines = [(r[0], (r[1] or "").split("\n")) for r in ROWS]
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
@@ -330,7 +330,11 @@ def test_op7_lines(docs, empty):
     assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v) for i, v in keep.items()}
     assert sum(d for v in got.values() for _, d, _ in v) >= 3
     clean = line_dedup.cleaned(docs)
-    assert clean.schema.names == docs.columns and clean.count() == len(ROWS)
+    emptied = sum(n > 0 and not t.strip() for v in keep.values() for _, n, t in v)
+    assert clean.schema.names == docs.columns and emptied and clean.count() == len(ROWS) - emptied
+    few = spark.createDataFrame([(i, "a line that three of them have\n" + ("a line that two have\n" * (i < 2)) + f"own {i}") for i in range(3)], "doc_id long, text string")
+    left = {r["doc_id"]: r["new_text"] for r in line_dedup.drop_repeated_lines(few, least_docs=3).collect()}
+    assert left == {0: "a line that three of them have\na line that two have\nown 0", 1: "a line that two have\nown 1", 2: "own 2"}
     assert clean.where("doc_id = 0").first()["text"] is None
     assert line_dedup.drop_repeated_lines(empty).count() == 0
 

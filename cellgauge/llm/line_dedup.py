@@ -62,9 +62,9 @@ def _marked(docs: DataFrame, min_chars: int, least_docs: int) -> tuple[DataFrame
     marked = base.join(drops, (F.col("_id") == F.col("doc_id")) & (F.col("_hash") == F.col("th")), "left").drop("doc_id", "th")
     parts = F.split("_text", "\n")
     places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drops"))  # a hash set: linear in the lines
-    kept = F.array_join(F.transform(places, lambda i: F.get(F.col("_parts"), i)), "\n")
-    marked = marked.withColumn("_parts", parts)
-    return marked, F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(kept), F.col("_parts")
+    # The lambda binds the lines, so that they are split once and not for every place.
+    kept = F.transform(F.array(parts), lambda lines: F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n"))[0]
+    return marked, F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(kept), parts
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:

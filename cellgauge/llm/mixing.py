@@ -1,6 +1,7 @@
 """Mixing sources to target weights.  DataFrame functions only.
 
-Words of each source are packed into fixed-length blocks, document after document.
+Words of each source are packed into fixed-length blocks, document after document within
+a hash bucket of documents; the last block of a bucket may be short.
 The mix is a number of output shards of equal size.  Each shard draws its source
 counts: the whole part of each source's expected count, and a multinomial draw for
 the slots that remain, so totals stay near their targets at every size.  A source's
@@ -8,8 +9,9 @@ slots are numbered through all shards; slot k takes the block at the pseudorando
 permutation of k modulo the source's number of blocks, so no block is taken again
 before all others were, and none more than ``most`` times.
 
-Offsets are two-level prefix sums (hash buckets of documents, then documents in a
-bucket), so that a source with any share of the rows is spread over many tasks.
+Texts are shuffled once, by bucket: a bucket's blocks are packed where its documents are,
+and the slots, which are small, come there.  All running sums (blocks before a bucket,
+slots before a shard) have two levels, so no task holds all of a source.
 
 Defined results: a null text has size 0 and takes 0; null is a source of its own,
 the last; every input row is a document, also one that repeats a doc_id or has none.
@@ -27,13 +29,36 @@ BLOCK = 32
 SHARD_SLOTS = 16384
 BUCKET_ROWS = 512
 ROUNDS = 16
-TASK_SLOTS = 1 << 19
-WORD = r"[^\x20\x09-\x0D]+"
-SPACES = r"[\x20\x09-\x0D]+"
-
-
-def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+TASK_SLOTS = 1 << 17
+TASK_WORDS = 1 << 25
+GROUP = 4096
+
+
+def normalised(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, source, text) as doc_id, source, _sid, size and _text, the words with one space between.
+
+    Most texts have single spaces between words, which bytes can tell; only the others meet a regular expression.
+    """
+    text = F.coalesce("text", F.lit(""))
+    for space in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    sid = F.xxhash64(F.col("source").isNull(), "source")
+    out = docs.select("doc_id", "source", sid.alias("_sid"), F.btrim(text).alias("_flat")).withColumn("_plain", F.instr("_flat", "  ") == 0)
+    out = out.withColumn("_text", F.when(F.col("_plain"), F.col("_flat")).otherwise(F.regexp_replace("_flat", " +", " ")))
+    words = F.octet_length("_text") - F.octet_length(F.replace("_text", F.lit(" "), F.lit(""))) + 1
+    return out.select("doc_id", "source", "_sid", F.when(F.col("_text") == "", 0).otherwise(words).cast("long").alias("size"), "_text")
+
+
+def running_sum(df: DataFrame, key: str, order: str, value: str, name: str, group: int = GROUP) -> DataFrame:
+    """df with the sum of ``value`` over all smaller ``order`` (an integer) of the key: sums of groups of the order, then sums within one."""
+    df = df.withColumn("_g", F.floor(F.col(order) / group))
+    before = Window.partitionBy(key).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = df.groupBy(key, "_g").agg(F.sum(value).alias("_total"))
+    groups = groups.select(F.col(key).alias("_k1"), F.col("_g").alias("_g1"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_earlier"))
+    within = Window.partitionBy(key, "_g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_inner", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    out = df.join(groups, (F.col(key) == F.col("_k1")) & (F.col("_g") == F.col("_g1")))
+    return out.withColumn(name, F.col("_earlier") + F.col("_inner")).drop("_g", "_g1", "_k1", "_earlier", "_inner")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
@@ -67,108 +92,104 @@ def permuted(x: Column, n: Column, *salt: Column, rounds: int = ROUNDS) -> Colum
 def build_mix(
     docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 1
 ) -> tuple[DataFrame, DataFrame]:
-    """The written mix: shard, slot, source, block, text, pieces(_b, _rn, n), and the rows of docs by _src, _b, _rn
+    """The written mix: shard, slot, source, block, text, pieces(_rn, n), _sid, _b, and the rows of docs by _sid, _b, _rn
     with doc_id, source, size, source_size, target."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sizes = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    targets = source_targets(sizes, weights, most)
-    targets = targets.withColumn("_src", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    targets = scratch.save(targets, "targets")
+    docs = normalised(docs.select("doc_id", "source", "text")).withColumn("_h", F.xxhash64("_text"))
+    sizes = scratch.save(docs.drop("_text"), "sizes")
+    targets = source_targets(sizes, weights, most).withColumn("_sid", F.xxhash64(F.col("source").isNull(), "source"))
     total = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()
     shards = max(1, -(-total["t"] // (block * shard_slots)))
     buckets = max(1, -(-total["n"] // BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64("doc_id", "_h"), F.lit(buckets)).alias("_b")
 
-    bucket = F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets))
-    sums = sizes.withColumn("_b", bucket).groupBy("source", "_b").agg(F.sum("size").alias("_s"))
-    sums = sums.withColumn(
-        "_from",
-        F.coalesce(
-            F.sum("_s").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ),
-    ).select(F.col("source").alias("_s2"), F.col("_b").alias("_b2"), "_from")
-    number = targets.select(F.col("source").alias("_s3"), "_src")
-    sums = sums.join(number, F.col("_s2").eqNullSafe(F.col("_s3"))).drop("_s3")
-
-    # Documents in their places, with their words.
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), SPACES), lambda w: w != "")
-    placed = docs.select("doc_id", "source", "text").withColumn("_words", words).withColumn("size", F.size("_words").cast("long"))
-    placed = placed.select("doc_id", "source", "size", bucket.alias("_b"), F.array_join("_words", " ").alias("_text"))
-    within = Window.partitionBy("source", "_b").orderBy("doc_id", "size", F.xxhash64("_text"), "_text")
-    placed = placed.withColumn("_rn", F.row_number().over(within)).withColumn(
-        "_in", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    )
-    placed = placed.join(sums, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2"))).select(
-        "doc_id", "size", "_text", "_src", "_b", "_rn", (F.col("_from") + F.col("_in")).alias("_start")
-    )
-    # Written tables between the steps keep each plan small and a lost executor's work with it.
-    placed = scratch.save(placed, "placed")
-
-    # Packed blocks: the pieces of documents that fall into a block, in their order.
-    first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block)
-
-    def piece(k):
-        lo = F.greatest(k * block - F.col("_start"), F.lit(0))
-        hi = F.least((k + 1) * block - F.col("_start"), F.col("size"))
-        text = F.array_join(F.slice("_words", (lo + 1).cast("int"), (hi - lo).cast("int")), " ")
-        return F.struct(k.alias("_k"), (F.col("_start") + lo).alias("_at"), (hi - lo).alias("n"), text.alias("text"))
-
-    pieces = placed.where("size > 0").withColumn("_words", F.split("_text", " "))
-    pieces = pieces.select("_src", "_b", "_rn", F.explode(F.transform(F.sequence(first, last), piece)).alias("p"))
-    pieces = pieces.select("_src", F.col("p._k").alias("_k"), F.struct("p._at", "_b", "_rn", "p.n", "p.text").alias("p"))
-    packed = pieces.groupBy("_src", "_k").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    # Blocks of each bucket, and how many of its source come before.
+    sums = sizes.select("_sid", bucket, "size").groupBy("_sid", "_b").agg(F.ceil(F.sum("size") / block).alias("_n"))
+    sums = scratch.save(running_sum(sums.where("_n > 0"), "_sid", "_b", "_n", "_from"), "buckets")
+    own = sums.groupBy(F.col("_sid").alias("_s2")).agg(F.sum("_n").alias("_blocks"))
+    targets = targets.join(own, F.col("_sid") == F.col("_s2"), "left").drop("_s2").fillna(0, ["_blocks"])
+    targets = targets.withColumn("_src", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    targets = scratch.save(targets, "targets")
 
-    # Source counts of each shard.
+    # Source counts of each shard, by the mean length of a source's blocks.
     whole = Window.partitionBy()
     upto = Window.orderBy("_src")
-    plan = targets.withColumn("_e", F.col("target") / (block * shards)).withColumn("_base", F.floor("_e"))
+    plan = targets.withColumn("_e", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size") * F.col("_blocks") / shards).otherwise(0.0))
+    plan = plan.withColumn("_base", F.floor("_e"))
     plan = plan.withColumn("_f", F.col("_e") - F.col("_base"))
     plan = plan.withColumn("_hi", F.sum("_f").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
     plan = plan.withColumn("_lo", F.coalesce(F.lag("_hi").over(upto), F.lit(0.0)))
     plan = plan.withColumn("_all", F.max("_hi").over(whole)).withColumn("_rest", F.round("_all").cast("int"))
-    plan = plan.withColumn("_blocks", F.ceil(F.col("source_size") / block))
-    shard = plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
+    plan = plan.select("*", F.explode(F.sequence(F.lit(0), F.lit((shards - 1) // GROUP))).alias("_part")).repartition("_sid", "_part")
+    last = F.least(F.col("_part") * GROUP + GROUP, F.lit(shards)) - 1
+    shard = plan.select("*", F.explode(F.sequence(F.col("_part") * GROUP, last)).alias("_shard"))
 
     def drawn(k):
         u = F.pmod(F.xxhash64(F.lit(seed), F.col("_shard"), k), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("_all")
         return (u >= F.col("_lo")) & (u < F.col("_hi"))
 
     rest = F.when(F.col("_rest") > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest("_rest", F.lit(1))), drawn))).otherwise(0)
-    shard = shard.withColumn("_count", F.col("_base") + rest)
-    earlier = Window.partitionBy("_src").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    shard = shard.withColumn("_first", F.coalesce(F.sum("_count").over(earlier), F.lit(0)))
+    shard = running_sum(shard.withColumn("_count", F.col("_base") + rest), "_sid", "_shard", "_count", "_first")
     # No block more than ``most`` times; what is left of a shard's sources lies side by side, then is permuted.
     shard = shard.withColumn("_count", F.greatest(F.lit(0), F.least("_count", F.col("_blocks") * most - F.col("_first"))))
     of_shard = Window.partitionBy("_shard")
     before = of_shard.orderBy("_src").rowsBetween(Window.unboundedPreceding, -1)
     shard = shard.withColumn("_at", F.coalesce(F.sum("_count").over(before), F.lit(0))).withColumn("_all", F.sum("_count").over(of_shard))
-    shard = scratch.save(shard, "shards")
+    shard = scratch.save(shard.select("_sid", "source", "_shard", "_blocks", "_all", "_at", "_first", "_count"), "shards")
 
-    # Slots, each with the block it takes.
-    # A few shard rows make all slots, so they are dealt out by the number of slots, not by their own size.
+    # Slots, each with the block it takes.  A few shard rows make all slots, so they are dealt out by the number of slots.
     tasks = max(1, -(-total["t"] // (block * TASK_SLOTS)))
-    slots = shard.where("_count > 0 and _blocks > 0").repartition(tasks, "_src", "_shard").select(
-        "_src", "source", "_shard", "_blocks", "_all", "_at", "_first", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_i")
-    )
-    slots = slots.select(
-        F.col("_src").alias("_src2"),
+    slots = shard.where("_count > 0 and _blocks > 0").repartition(tasks, "_sid", "_shard")
+    slots = slots.select("*", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_i")).select(
+        F.col("_sid").alias("_s1"),
         "source",
         F.col("_shard").alias("shard"),
         permuted(F.col("_at") + F.col("_i"), F.col("_all"), F.lit(seed), F.col("_shard")).alias("slot"),
-        permuted((F.col("_first") + F.col("_i")) % F.col("_blocks"), F.col("_blocks"), F.lit(seed), F.col("source")).alias("block"),
+        permuted((F.col("_first") + F.col("_i")) % F.col("_blocks"), F.col("_blocks"), F.lit(seed), F.col("_sid")).alias("block"),
     )
-    # Blocks joined by index into the shards.  A few shard rows make all slots, so their estimated size says nothing.
-    mixed = packed.join(slots.hint("merge"), (F.col("_src") == F.col("_src2")) & (F.col("_k") == F.col("block"))).select(
+    # The bucket of a block: buckets stand in all cells of block numbers that they reach into, so each slot meets a few.
+    cell = max(1, total["t"] // (block * buckets))
+    cells = F.explode(F.sequence(F.floor(F.col("_from") / cell), F.floor((F.col("_from") + F.col("_n") - 1) / cell))).alias("_cell")
+    cells = sums.select(F.col("_sid").alias("_s2"), F.col("_b").alias("_b2"), "_from", "_n", cells)
+    held = (F.col("_s1") == F.col("_s2")) & (F.floor(F.col("block") / cell) == F.col("_cell")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_from") + F.col("_n"))
+    slots = slots.join(cells, held).select("_s2", "_b2", (F.col("block") - F.col("_from")).alias("_k2"), "shard", "slot", "source", "block")
+
+    # Documents in their places in a bucket, cut at the ends of blocks.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total["t"] // TASK_WORDS))
+    order = Window.partitionBy("_sid", "_b").orderBy("doc_id", "size", "_h")
+    start = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    placed = docs.select("_sid", bucket, "doc_id", "size", "_h", "_text").repartition(tasks, "_sid", "_b")
+    placed = placed.withColumn("_rn", F.row_number().over(order)).withColumn("_start", start).where("size > 0")
+    first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block)
+
+    def piece(words, k):
+        lo = F.greatest(k * block - F.col("_start"), F.lit(0))
+        hi = F.least((k + 1) * block - F.col("_start"), F.col("size"))
+        text = F.array_join(F.slice(words, (lo + 1).cast("int"), (hi - lo).cast("int")), " ")
+        return F.struct(k.alias("_k"), (F.col("_start") + lo).alias("_at"), (hi - lo).alias("n"), text.alias("text"))
+
+    # The outer lambda binds the words, so that a text is split once and not for every block.
+    made = F.transform(F.array(F.split("_text", " ")), lambda words: F.transform(F.sequence(first, last), lambda k: piece(words, k)))[0]
+    pieces = placed.select("_sid", "_b", "_rn", F.explode(made).alias("p"))
+    pieces = pieces.select("_sid", "_b", F.col("p._k").alias("_k"), F.struct("p._at", "_rn", "p.n", "p.text").alias("p"))
+    packed = pieces.groupBy("_sid", "_b", "_k").agg(F.array_sort(F.collect_list("p")).alias("p"))
+
+    # Blocks joined by index into the shards, where they were packed: both sides are dealt by bucket alike.
+    slots = slots.repartition(tasks, "_s2", "_b2").hint("merge")
+    mixed = packed.join(slots, (F.col("_sid") == F.col("_s2")) & (F.col("_b") == F.col("_b2")) & (F.col("_k") == F.col("_k2"))).select(
         "shard",
         "slot",
         "source",
         "block",
         F.array_join(F.col("p.text"), " ").alias("text"),
-        F.transform("p", lambda p: F.struct(p["_b"].alias("_b"), p["_rn"].alias("_rn"), p["n"].alias("n"))).alias("pieces"),
-        "_src",
+        F.transform("p", lambda p: F.struct(p["_rn"].alias("_rn"), p["n"].alias("n"))).alias("pieces"),
+        "_sid",
+        "_b",
     )
     mixed = scratch.save(mixed, "mixed")
-    rows = placed.drop("_text", "_start").join(targets, "_src")
+    rows = sizes.select("doc_id", "size", "_h", "_sid", bucket).withColumn("_rn", F.row_number().over(order))
+    rows = rows.join(targets.select("_sid", "source", "source_size", "target"), "_sid")
     return mixed, rows
 
 
@@ -183,7 +204,7 @@ def mix_sources(
     """doc_id, source, size, source_size, target, taken: one row for each row of docs(doc_id, text, source).
     ``taken`` is counted in the written mix."""
     mixed, rows = build_mix(docs, weights, most, block, shard_slots, seed)
-    taken = mixed.select("_src", F.explode("pieces").alias("p")).groupBy("_src", "p._b", "p._rn").agg(F.sum("p.n").alias("_taken"))
-    return rows.join(taken, ["_src", "_b", "_rn"], "left").select(
+    taken = mixed.select("_sid", "_b", F.explode("pieces").alias("p")).groupBy("_sid", "_b", "p._rn").agg(F.sum("p.n").alias("_taken"))
+    return rows.join(taken, ["_sid", "_b", "_rn"], "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken")
     )

@@ -29,6 +29,7 @@ BLOCK = 32
 SHARD_SLOTS = 16384
 BUCKET_ROWS = 512
 ROUNDS = 16
+SLOT_BITS = 24  # a shard has fewer slots
 TASK_SLOTS = 1 << 17
 TASK_WORDS = 1 << 25
 GROUP = 4096
@@ -78,22 +79,25 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     return ranked.select("source", "source_size", F.least("_cap", F.col("_level") * F.col("_w")).alias("target"))
 
 
-def permuted(x: Column, n: Column, *salt: Column, rounds: int = ROUNDS) -> Column:
-    """Swap-or-not shuffle of 0..n-1: a keyed permutation for any n, from hashes alone."""
+def round_keys(n: Column, *salt: Column, rounds: int = ROUNDS) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda r: F.pmod(F.xxhash64(r, *salt), n))
 
-    def swap(acc, r):
-        other = F.pmod(F.pmod(F.xxhash64(r, *salt), n) - acc, n)
-        high = F.greatest(acc, other)
-        return F.when(F.xxhash64(high, r, *salt) % 2 == 0, other).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x, swap)
+def permuted(x: Column, n: Column, keys: Column) -> Column:
+    """Swap-or-not shuffle of 0..n-1: a keyed permutation for any n, from hashes alone.  The keys of the rounds are made once for many x."""
+
+    def swap(acc, key):
+        other = F.pmod(key - acc, n)
+        return F.when(F.xxhash64(F.greatest(acc, other), key) % 2 == 0, other).otherwise(acc)
+
+    return F.aggregate(keys, x, swap)
 
 
 def build_mix(
     docs: DataFrame, weights=WEIGHTS, most: int = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 1
-) -> tuple[DataFrame, DataFrame]:
-    """The written mix: shard, slot, source, block, text, pieces(_rn, n), _sid, _b, and the rows of docs by _sid, _b, _rn
-    with doc_id, source, size, source_size, target."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written mix: shard, slot, source, text, _rns and _ns (rows and words that each block has), _sid, _b, _k (block in the
+    bucket); the rows of docs by _sid, _b, _rn with doc_id, source, size, source_size, target; the blocks before each bucket."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     docs = normalised(docs.select("doc_id", "source", "text")).withColumn("_h", F.xxhash64("_text"))
@@ -140,26 +144,26 @@ def build_mix(
 
     # Slots, each with the block it takes.  A few shard rows make all slots, so they are dealt out by the number of slots.
     tasks = max(1, -(-total["t"] // (block * TASK_SLOTS)))
-    slots = shard.where("_count > 0 and _blocks > 0").repartition(tasks, "_sid", "_shard")
-    slots = slots.select("*", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_i")).select(
+    slots = shard.where("_count > 0 and _blocks > 0").withColumn("_keys", round_keys(F.col("_blocks"), F.lit(seed), F.col("_sid")))
+    slots = slots.repartition(tasks, "_shard").select("*", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_i"))
+    shuffled = Window.partitionBy("_shard").orderBy(F.xxhash64(F.lit(seed), "_shard", "_sid", "_i"), "_sid", "_i")
+    slots = slots.select(
         F.col("_sid").alias("_s1"),
-        "source",
-        F.col("_shard").alias("shard"),
-        permuted(F.col("_at") + F.col("_i"), F.col("_all"), F.lit(seed), F.col("_shard")).alias("slot"),
-        permuted((F.col("_first") + F.col("_i")) % F.col("_blocks"), F.col("_blocks"), F.lit(seed), F.col("_sid")).alias("block"),
+        F.shiftleft("_shard", SLOT_BITS).bitwiseOR(F.row_number().over(shuffled).cast("long") - 1).alias("_place"),
+        permuted((F.col("_first") + F.col("_i")) % F.col("_blocks"), F.col("_blocks"), F.col("_keys")).alias("block"),
     )
     # The bucket of a block: buckets stand in all cells of block numbers that they reach into, so each slot meets a few.
     cell = max(1, total["t"] // (block * buckets))
     cells = F.explode(F.sequence(F.floor(F.col("_from") / cell), F.floor((F.col("_from") + F.col("_n") - 1) / cell))).alias("_cell")
     cells = sums.select(F.col("_sid").alias("_s2"), F.col("_b").alias("_b2"), "_from", "_n", cells)
     held = (F.col("_s1") == F.col("_s2")) & (F.floor(F.col("block") / cell) == F.col("_cell")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_from") + F.col("_n"))
-    slots = slots.join(cells, held).select("_s2", "_b2", (F.col("block") - F.col("_from")).alias("_k2"), "shard", "slot", "source", "block")
+    slots = slots.join(cells, held).select("_s2", "_b2", (F.col("block") - F.col("_from")).alias("_k2"), "_place")
 
     # Documents in their places in a bucket, cut at the ends of blocks.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total["t"] // TASK_WORDS))
     order = Window.partitionBy("_sid", "_b").orderBy("doc_id", "size", "_h")
     start = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = docs.select("_sid", bucket, "doc_id", "size", "_h", "_text").repartition(tasks, "_sid", "_b")
+    placed = docs.select("_sid", bucket, "source", "doc_id", "size", "_h", "_text").repartition(tasks, "_sid", "_b")
     placed = placed.withColumn("_rn", F.row_number().over(order)).withColumn("_start", start).where("size > 0")
     first, last = F.floor(F.col("_start") / block), F.floor((F.col("_start") + F.col("size") - 1) / block)
 
@@ -171,31 +175,35 @@ def build_mix(
 
     # The outer lambda binds the words, so that a text is split once and not for every block.
     made = F.transform(F.array(F.split("_text", " ")), lambda words: F.transform(F.sequence(first, last), lambda k: piece(words, k)))[0]
-    pieces = placed.select("_sid", "_b", "_rn", F.explode(made).alias("p"))
-    pieces = pieces.select("_sid", "_b", F.col("p._k").alias("_k"), F.struct("p._at", "_rn", "p.n", "p.text").alias("p"))
-    packed = pieces.groupBy("_sid", "_b", "_k").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    pieces = placed.select("_sid", "_b", "source", "_rn", F.explode(made).alias("p"))
+    pieces = pieces.select("_sid", "_b", "source", F.col("p._k").alias("_k"), F.struct("p._at", "_rn", "p.n", "p.text").alias("p"))
+    packed = pieces.groupBy("_sid", "_b", "_k", "source").agg(F.array_sort(F.collect_list("p")).alias("p"))
 
     # Blocks joined by index into the shards, where they were packed: both sides are dealt by bucket alike.
     slots = slots.repartition(tasks, "_s2", "_b2").hint("merge")
     mixed = packed.join(slots, (F.col("_sid") == F.col("_s2")) & (F.col("_b") == F.col("_b2")) & (F.col("_k") == F.col("_k2"))).select(
-        "shard",
-        "slot",
+        F.shiftright("_place", SLOT_BITS).alias("shard"),
+        F.col("_place").bitwiseAND((1 << SLOT_BITS) - 1).alias("slot"),
         "source",
-        "block",
         F.array_join(F.col("p.text"), " ").alias("text"),
-        F.transform("p", lambda p: F.struct(p["_rn"].alias("_rn"), p["n"].alias("n"))).alias("pieces"),
+        F.col("p._rn").alias("_rns"),
+        F.col("p.n").alias("_ns"),
         "_sid",
         "_b",
+        "_k",
     )
-    mixed = scratch.save(mixed, "mixed")
+    mixed = scratch.save(mixed, "mixed", "zstd")
+    first = sums.select(F.col("_sid").alias("_s2"), F.col("_b").alias("_b2"), "_from")
     rows = sizes.select("doc_id", "size", "_h", "_sid", bucket).withColumn("_rn", F.row_number().over(order))
     rows = rows.join(targets.select("_sid", "source", "source_size", "target"), "_sid")
-    return mixed, rows
+    return mixed, rows, first
 
 
 def mixed_blocks(docs: DataFrame, *args, **kwargs) -> DataFrame:
     """shard, slot, source, block, text: the mix itself, one row for each slot of each shard."""
-    return build_mix(docs, *args, **kwargs)[0].select("shard", "slot", "source", "block", "text")
+    mixed, _, first = build_mix(docs, *args, **kwargs)
+    mixed = mixed.join(first, (F.col("_sid") == F.col("_s2")) & (F.col("_b") == F.col("_b2")))
+    return mixed.select("shard", "slot", "source", (F.col("_from") + F.col("_k")).alias("block"), "text")
 
 
 def mix_sources(
@@ -203,8 +211,9 @@ def mix_sources(
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: one row for each row of docs(doc_id, text, source).
     ``taken`` is counted in the written mix."""
-    mixed, rows = build_mix(docs, weights, most, block, shard_slots, seed)
-    taken = mixed.select("_sid", "_b", F.explode("pieces").alias("p")).groupBy("_sid", "_b", "p._rn").agg(F.sum("p.n").alias("_taken"))
+    mixed, rows, _ = build_mix(docs, weights, most, block, shard_slots, seed)
+    taken = mixed.select("_sid", "_b", F.explode(F.arrays_zip(F.col("_rns").alias("_rn"), F.col("_ns").alias("n"))).alias("p"))
+    taken = taken.groupBy("_sid", "_b", F.col("p._rn").alias("_rn")).agg(F.sum("p.n").alias("_taken"))
     return rows.join(taken, ["_sid", "_b", "_rn"], "left").select(
         "doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken")
     )

@@ -457,7 +457,7 @@ def test_permutation(spark):
     from pyspark.sql import functions as F
 
     for n in (1, 2, 7, 1000):
-        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(3), F.lit("s")).alias("p")).collect()
+        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), mixing.round_keys(F.lit(n), F.lit(3), F.lit("s"))).alias("p")).collect()
         assert sorted(r["p"] for r in got) == list(range(n))
 
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, setting
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -33,6 +33,7 @@ SLOT_BITS = 24  # a shard has fewer slots
 TASK_SLOTS = 1 << 17
 TASK_WORDS = 1 << 25
 GROUP = 4096
+BROADCAST_ROWS = 1 << 16
 
 
 def normalised(docs: DataFrame) -> DataFrame:
@@ -106,7 +107,8 @@ def build_mix(
     total = sizes.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()
     shards = max(1, -(-total["t"] // (block * shard_slots)))
     buckets = max(1, -(-total["n"] // BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64("doc_id", "_h"), F.lit(buckets)).alias("_b")
+    # Never null, which the optimiser must see: else it would filter on this, and on all it is made of, once more.
+    bucket = F.coalesce(F.pmod(F.xxhash64("doc_id", "_h"), F.lit(buckets)), F.lit(0)).alias("_b")
 
     # Blocks of each bucket, and how many of its source come before.
     sums = sizes.select("_sid", bucket, "size").groupBy("_sid", "_b").agg(F.ceil(F.sum("size") / block).alias("_n"))
@@ -157,6 +159,8 @@ def build_mix(
     cells = F.explode(F.sequence(F.floor(F.col("_from") / cell), F.floor((F.col("_from") + F.col("_n") - 1) / cell))).alias("_cell")
     cells = sums.select(F.col("_sid").alias("_s2"), F.col("_b").alias("_b2"), "_from", "_n", cells)
     held = (F.col("_s1") == F.col("_s2")) & (F.floor(F.col("block") / cell) == F.col("_cell")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_from") + F.col("_n"))
+    # Buckets go to all tasks while they are few; the estimate of the slots' size says nothing, so else they are merged.
+    cells = F.broadcast(cells) if sums.count() <= BROADCAST_ROWS else cells.hint("merge")
     slots = slots.join(cells, held).select("_s2", "_b2", (F.col("block") - F.col("_from")).alias("_k2"), "_place")
 
     # Documents in their places in a bucket, cut at the ends of blocks.
@@ -192,7 +196,8 @@ def build_mix(
         "_b",
         "_k",
     )
-    mixed = scratch.save(mixed, "mixed", "zstd")
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):  # dealt by bucket is enough for a join by bucket and block
+        mixed = scratch.save(mixed, "mixed", "zstd")
     first = sums.select(F.col("_sid").alias("_s2"), F.col("_b").alias("_b2"), "_from")
     rows = sizes.select("doc_id", "size", "_h", "_sid", bucket).withColumn("_rn", F.row_number().over(order))
     rows = rows.join(targets.select("_sid", "source", "source_size", "target"), "_sid")

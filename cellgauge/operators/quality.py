@@ -61,6 +61,12 @@ def classify(df: DataFrame, table: Table | str, parents: dict[str, DataFrame]) -
     return Classified(table.name, judged.select(*df.columns, REASONS, VALID))
 
 
+def validate_network_events(events: DataFrame, towers: DataFrame, subscribers: DataFrame, devices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid and rejected network events against the given parents."""
+    judged = classify(events, "network_events", {"towers": towers, "subscribers": subscribers, "devices": devices})
+    return judged.valid, judged.invalid
+
+
 def classify_all(tables: dict[str, DataFrame]) -> dict[str, Classified]:
     """All given tables in order, each against the valid rows of its parents (a rejected parent rejects its children)."""
     done: dict[str, Classified] = {}

@@ -10,7 +10,8 @@ import re
 
 from . import testbed
 from .catalog import EVENTS, TABLES
-from .questions import INVESTIGATE_SQL, QUESTIONS
+from .oracle_questions import QUESTION_SQL
+from .questions import INVESTIGATE_SQL
 
 
 def blank(c: str) -> str:
@@ -257,7 +258,7 @@ SQL = {
         CASE WHEN doc_id NOT IN (SELECT doc_id FROM labels) THEN 'doc_id_unknown' END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents""",
     "documents_duplicate_hash": "SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY ALL HAVING count(*) > 1",
     "q15_investigate_first": INVESTIGATE_SQL,
-    **{name: q.sql() for name, q in QUESTIONS.items()},
+    **QUESTION_SQL,
 }
 
 

@@ -9,7 +9,7 @@ from dataclasses import asdict
 from ..catalog import TABLES
 from ..sources.session import create_session
 from .config import Settings, load_config
-from .graph import parse_names
+from .graph import ENRICHED, parse_names
 from .pipeline import STAGES, Pipeline, run_batch, run_stage
 
 
@@ -27,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
         else:
             p.add_argument("--stage", choices=(*STAGES, "all"), required=True)
             p.add_argument("--clean-stage-output", action="store_true")
+            p.add_argument("--source-tables", help="comma-separated source tables that changed, for silver")
+            p.add_argument("--enriched-tables", help="comma-separated enriched tables that changed, for gold")
     g = commands.add_parser("generate")
     g.add_argument("--out", required=True)
     g.add_argument("--profile", default="tiny")
@@ -52,7 +54,8 @@ def main(argv: list[str] | None = None) -> int:
     try:
         pipeline = Pipeline(settings, args.profile or settings.default_profile, spark)
         tables = tables or (list(settings.default_tables) or None)
-        for w in run_stage(pipeline, args.stage, args.batch_id or settings.default_batch, tables, args.clean_stage_output):
+        sources, enriched = parse_names(args.source_tables, TABLES), parse_names(args.enriched_tables, ENRICHED, "enriched tables")
+        for w in run_stage(pipeline, args.stage, args.batch_id or settings.default_batch, tables, args.clean_stage_output, sources, enriched):
             print(json.dumps(asdict(w)))
     finally:
         spark.stop()

@@ -34,7 +34,6 @@ class Settings:
     bronze: FileTarget = FileTarget("none")
     quality: FileTarget = FileTarget("none")
     silver: FileTarget = FileTarget("none")
-    persist_classified: tuple[str, ...] = ()
     persist_towers: bool = False
     count_bronze: bool = False
     count_quality: bool = True
@@ -59,7 +58,6 @@ class Settings:
             bronze=_target(config.get("bronze") or {}, "none"),
             quality=_target(quality, "auto" if quality.get("output_partitions") else "none", quality.get("output_partitions")),
             silver=_target(config.get("silver") or {}, "none"),
-            persist_classified=tuple(quality.get("persist_classified_tables") or ()),
             persist_towers=bool((config.get("gold") or {}).get("persist_tower_daily_for_region", False)),
             count_bronze=bool(audit.get("count_bronze_inputs", False)),
             count_quality=bool(audit.get("count_quality_outputs", True)),

@@ -8,6 +8,7 @@ of the batch.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,7 +20,7 @@ from ..sources.session import create_session
 from ..sources.storage import Store, with_bronze_columns
 from . import graph
 from .config import Settings, load_config
-from .registry import COMPLETED, Registry, summary
+from .registry import COMPLETED, RunLog, plain
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,7 @@ class Pipeline:
             size = stored_bytes(self.spark, self.store.path("raw", name))
             df = with_bronze_columns(self.store.read_raw(name), name, self.profile, batch)
             rows = self.store.write(dealt(df, self.settings.bronze.partitions(size)), "bronze", name, (BATCH,))
-            out.append(Written("bronze", name, rows))
+            out.append(Written("bronze", name, rows if self.settings.count_bronze else None))
         return out
 
     # Quality
@@ -60,15 +61,17 @@ class Pipeline:
             for name in wanted:
                 parents = {p: done[p].valid for p in TABLES[name].parents}
                 judged = quality.classify(self.store.read("bronze", name, batch), name, parents)
-                if name in self.settings.persist_classified or name in DIMENSIONS:
-                    judged = quality.Classified(name, judged.rows.persist())
-                    kept.append(judged.rows)
+                # Judged once for both writes; a dimension stays for its children.
+                judged = quality.Classified(name, judged.rows.persist())
+                kept.append(judged.rows)
                 done[name] = judged
                 size = stored_bytes(self.spark, self.store.path("bronze", name))
                 files = self.settings.quality.partitions(size)
-                valid = self.store.write(dealt(judged.valid, files), "silver", name, (BATCH,))
-                rejected = self.store.write(dealt(judged.invalid, files), "quarantine", name, (BATCH,))
-                out.append(Written("quality", name, valid, rejected))
+                valid = self.store.write(dealt(judged.valid, files, BATCH), "silver", name, (BATCH,))
+                rejected = self.store.write(dealt(judged.invalid, files, BATCH), "quarantine", name, (BATCH,))
+                out.append(Written("quality", name, *((valid, rejected) if self.settings.count_quality else ())))
+                if name not in DIMENSIONS:
+                    kept.pop().unpersist()
         finally:
             for df in kept:
                 df.unpersist()
@@ -96,7 +99,7 @@ class Pipeline:
             controlled = controls.control_events(events, name)
             size = stored_bytes(self.spark, self.store.path("silver", name))
             files = self.settings.silver.partitions(size)
-            rows = self.store.write(dealt(star.enrich(controlled, name), files), "silver", target, ("event_date", BATCH))
+            rows = self.store.write(dealt(star.enrich(controlled, name), files, "event_date", BATCH), "silver", target, ("event_date", BATCH))
             late = removed = None
             if self.settings.count_silver:
                 seen = self.store.read("silver", target, batch).agg(F.count_if("_is_late_arriving").alias("late")).first()
@@ -106,13 +109,18 @@ class Pipeline:
 
     # KPIs
     def gold(self, batch: str | None = None, enriched: list[str] | None = None) -> list[Written]:
-        """With a batch only its days are computed again; they are few, so their list prunes partitions."""
+        """With a batch only the days it changes are computed again, its own and those on which its records were counted
+        before; they are few, so their list prunes partitions."""
         targets = graph.affected_kpis(enriched)
         if not targets:
             return []
         tables = {t: self.store.read("silver", t) for t in graph.kpi_sources(targets)}
         if batch is not None:
-            changed = [tables[t].where(F.col(BATCH) == F.lit(batch)) for t in (enriched or tables) if t in tables]
+            changed = []
+            for t in (t for t in (enriched or tables) if t in tables):
+                key, own = TABLES[t.removesuffix("_enriched")].key, tables[t].where(F.col(BATCH) == F.lit(batch))
+                before = tables[t].where(F.col(BATCH) != F.lit(batch)).join(own.select(key).distinct(), key, "left_semi")
+                changed += [own, before]
             days = [r["event_date"] for r in kpis.affected_dates(changed).where("event_date IS NOT NULL").collect()]
             if not days:
                 return []
@@ -136,45 +144,59 @@ class Pipeline:
         spec = TABLES[name]
         return controls.latest_per_key(df, spec.key, spec.event_time, flag=False)
 
-    def run(self, batch: str, tables: list[str] | None = None) -> dict[str, list[dict]]:
-        stages = {}
+    def network_events_quality(self, batch: str | None = None) -> Written:
+        """The quality stage of network events alone, with the parents it needs."""
+        return next(w for w in self.quality(batch, ["network_events"]) if w.table == "network_events")
+
+    def run(self, batch: str, tables: list[str] | None = None, done: Callable[[str, list[Written]], None] = lambda name, results: None) -> dict[str, list[dict]]:
+        """All stages; each is told to ``done`` when it ends."""
+        stages: dict[str, list[Written]] = {}
+
+        def step(name: str, results: list[Written]) -> list[Written]:
+            stages[name] = results
+            done(name, results)
+            return results
+
         delivered = None if tables is None else graph.with_parents(tables)
-        stages["bronze"] = summary(self.bronze(batch, delivered))
-        stages["quality"] = summary(self.quality(batch, tables))
-        stages["scd2"] = summary(self.histories([t for t in (delivered or HISTORIES) if t in HISTORIES]))
-        written = self.silver(batch, tables)
-        stages["silver"] = summary(written)
-        stages["gold"] = summary(self.gold(batch, [w.table for w in written] if tables else None))
-        return stages
+        step("bronze", self.bronze(batch, delivered))
+        step("quality", self.quality(batch, tables))
+        step("scd2", self.histories([t for t in (delivered or HISTORIES) if t in HISTORIES]))
+        written = step("silver", self.silver(batch, tables))
+        step("gold", self.gold(batch, [w.table for w in written] if tables else None))
+        return {name: plain(results) for name, results in stages.items()}
 
 
 def run_batch(config: dict | str, profile: str, batch: str, force: bool = False, tables: list[str] | None = None, spark: SparkSession | None = None) -> dict:
     """One registered run of a batch: skipped if it was completed before, unless forced; a failure is recorded and returned."""
     settings = Settings.of(load_config(config) if isinstance(config, str) else config)
-    registry = Registry(settings.registry_path)
+    log = RunLog(settings.registry_path)
     about = {"profile": profile, "batch_id": batch}
-    if registry.has_completed(profile, batch) and not force:
+    if log.finished(profile, batch) and not force:
         return {"status": "skipped", "message": "this batch was completed before; force a rerun to run it again"} | about
     tables = None if tables is None else graph.checked(tables, TABLES)
-    run = registry.start(profile, batch)
+    run_id = log.begin(profile, batch)
     own = spark is None
     try:
         spark = spark or create_session(settings.app_name, settings.master, settings.adaptive, settings.bundled_spark, settings.shuffle_partitions)
-        ended = registry.complete(run.run_id, Pipeline(settings, profile, spark).run(batch, tables))
+        Pipeline(settings, profile, spark).run(batch, tables, lambda name, results: log.stage(run_id, name, results))
+        ended = log.end(run_id)
     except Exception as error:
-        ended = registry.fail(run.run_id, str(error))
+        ended = log.end(run_id, error)
     finally:
         if own and spark is not None:
             spark.stop()
-    out = {"status": ended.status, "run_id": ended.run_id, "registry_path": str(registry.path), "stages": ended.stages} | about
-    return out if ended.status == COMPLETED else out | {"error_message": ended.error_message}
+    out = {"status": ended["status"], "run_id": run_id, "registry_path": str(log.path), "stages": ended["stages"]} | about
+    return out if ended["status"] == COMPLETED else out | {"error_message": ended["error_message"]}
 
 
 STAGES = ("bronze", "quality", "scd2", "silver", "gold")
 
 
-def run_stage(pipeline: Pipeline, stage: str, batch: str | None = None, tables: list[str] | None = None, clean: bool = False) -> list[Written]:
-    """One stage or all, without the registry; ``clean`` first deletes what the stage wrote for this profile."""
+def run_stage(
+    pipeline: Pipeline, stage: str, batch: str | None = None, tables: list[str] | None = None, clean: bool = False, sources: list[str] | None = None, enriched: list[str] | None = None
+) -> list[Written]:
+    """One stage or all, without the log; ``clean`` first deletes what the stage wrote for this profile.
+    ``sources`` (for silver) and ``enriched`` (for gold) say what changed where the tables given do not."""
     if stage not in (*STAGES, "all"):
         raise ValueError(f"unknown stage: {stage}")
     store = pipeline.store
@@ -192,7 +214,7 @@ def run_stage(pipeline: Pipeline, stage: str, batch: str | None = None, tables:
         "bronze": lambda: pipeline.bronze(batch, graph.with_parents(tables) if tables else None),
         "quality": lambda: pipeline.quality(batch, tables),
         "scd2": lambda: pipeline.histories(),
-        "silver": lambda: pipeline.silver(batch, tables),
-        "gold": lambda: pipeline.gold(batch, graph.affected_enriched(tables) if tables else None),
+        "silver": lambda: pipeline.silver(batch, sources or tables),
+        "gold": lambda: pipeline.gold(batch, enriched or (graph.affected_enriched(sources or tables) if sources or tables else None)),
     }
     return [w for s in (STAGES if stage == "all" else (stage,)) for w in steps[s]()]

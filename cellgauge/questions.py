@@ -19,11 +19,12 @@ class Question:
     measures: dict[str, str] = field(default_factory=dict)
     order: str = ""
     limit: int | None = None
+    least: int | None = None  # rows must have so much of what the predicate counts
 
-    def answer(self, tables: dict[str, DataFrame]) -> DataFrame:
+    def answer(self, tables: dict[str, DataFrame], least: int | None = None) -> DataFrame:
         df = tables[self.table]
         if self.where:
-            df = df.where(self.where)
+            df = df.where(self.where.format(least=self.least if least is None else least))
         if self.measures:
             df = df.groupBy(*(self.group.split() if self.group else [])).agg(*[F.expr(e).alias(n) for n, e in self.measures.items()])
         if self.order:
@@ -32,19 +33,6 @@ class Question:
             df = df.limit(self.limit)
         return df.selectExpr(*[c.strip() for c in self.show.split(";")]) if self.show else df
 
-    def sql(self) -> str:
-        """The same in SQL, with NULLs where Spark puts them."""
-        source = f"SELECT * FROM {self.table}" + (f" WHERE {self.where}" if self.where else "")
-        if self.measures:
-            keys = self.group.split() if self.group else []
-            picked = ", ".join(keys + [f"{e} AS {n}" for n, e in self.measures.items()])
-            source = f"SELECT {picked} FROM ({source}) s" + (f" GROUP BY {', '.join(keys)}" if keys else "")
-        if self.order:
-            source += " ORDER BY " + ", ".join(f"{c[1:]} DESC NULLS LAST" if c[0] == "-" else f"{c} ASC NULLS FIRST" for c in self.order.split())
-        if self.limit:
-            source += f" LIMIT {self.limit}"
-        return f"SELECT {', '.join(self.show.split(';'))} FROM ({source}) t" if self.show else source
-
 
 def mean(*names: str, **renamed: str) -> dict[str, str]:
     return {new: f"round(avg({old}), 3)" for new, old in ({f"avg_{n}": n for n in names} | renamed).items()}
@@ -68,13 +56,13 @@ QUESTIONS = {
         order=f"tower_health_score {TOWER_KEYS}", limit=10),
     "q02_network_failures": Question(
         TOWERS, "event_date; tower_id; region_name; tower_type; total_network_events; failed_network_events; network_failure_rate; tower_health_score",
-        "total_network_events >= 3", order=f"-network_failure_rate {TOWER_KEYS}", limit=10),
+        "total_network_events >= {least}", order=f"-network_failure_rate {TOWER_KEYS}", limit=10, least=50),
     "q03_dropped_calls": Question(
         TOWERS, "event_date; tower_id; region_name; total_calls; dropped_calls; dropped_call_rate; tower_health_score",
-        "total_calls >= 1", order=f"-dropped_call_rate {TOWER_KEYS}", limit=10),
+        "total_calls >= {least}", order=f"-dropped_call_rate {TOWER_KEYS}", limit=10, least=10),
     "q04_busy_and_weak": Question(
         TOWERS, "event_date; tower_id; region_name; tower_type; total_network_events; total_data_mb; tower_health_score",
-        "total_network_events >= 3", order=f"tower_health_score -total_network_events {TOWER_KEYS}", limit=10),
+        "total_network_events >= {least}", order=f"tower_health_score -total_network_events {TOWER_KEYS}", limit=10, least=80),
     "q05_tower_types": Question(
         TOWERS, "", group="tower_type", order="avg_health_score tower_type",
         measures=distinct(towers="tower_id") | mean(avg_health_score="tower_health_score") | mean(*RATES)),
@@ -83,7 +71,7 @@ QUESTIONS = {
         order="avg_tower_health_score event_date region_id", limit=10),
     "q07_region_dropped_calls": Question(
         REGIONS, "event_date; region_name; total_calls; dropped_calls; dropped_call_rate; avg_tower_health_score",
-        "total_calls >= 2", order="-dropped_call_rate event_date region_id", limit=10),
+        "total_calls >= {least}", order="-dropped_call_rate event_date region_id", limit=10, least=50),
     "q08_zones": Question(
         REGIONS, "", group="zone", order="avg_health_score zone",
         measures=distinct(regions="region_id") | mean(avg_health_score="avg_tower_health_score") | mean(*RATES) | total("critical_alarms")),
@@ -96,7 +84,7 @@ QUESTIONS = {
         order="-failed_session_rate event_date network_type", limit=10),
     "q11_segment_dropped_calls": Question(
         SEGMENTS, "event_date; customer_segment; plan_type; total_calls; dropped_calls; dropped_call_rate; failed_call_rate",
-        "total_calls >= 2", order="-dropped_call_rate event_date customer_segment plan_type", limit=10),
+        "total_calls >= {least}", order="-dropped_call_rate event_date customer_segment plan_type", limit=10, least=20),
     "q12_data_by_segment": Question(
         SEGMENTS, "", group="customer_segment plan_type", order="-total_data_mb customer_segment plan_type", limit=10,
         measures=total("total_data_sessions") | total("total_data_mb", places=3) | mean("failed_session_rate")),

@@ -1,266 +1,241 @@
 """Generated telecom extracts: clean tables, planted bad and late rows, dimension changes.
 
 Every value is a hash of the row's number, the column and a seed, so tables of any size are
-generated in parallel and come out alike wherever they run.
+generated in parallel and come out alike wherever they run.  Nothing is listed that the
+engine knows already: values come from the enumerations of the quality rules, planted rows
+break those rules one by one, and dimension changes touch the columns that histories track.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..catalog import TABLES
+from ..catalog import DIMENSIONS, HISTORIES, TABLES
+from ..functions import rules as R
 from .storage import join_path
 
 SEED = 42
 START = "2026-08-01 00:00:00"
+CHANGED_ON = "2026-08-15"
 DAYS = 7
-# Rows of each profile.
+# Rows of each profile, rows planted into each table, hours by which the late ones are late.
 PROFILES = {
     "tiny": dict(regions=8, towers=80, service_plans=6, subscribers=5_000, devices=5_500, network_events=50_000, calls=20_000, data_sessions=30_000, tower_alarms=800),
     "medium": dict(regions=8, towers=240, service_plans=6, subscribers=25_000, devices=30_000, network_events=250_000, calls=100_000, data_sessions=150_000, tower_alarms=4_000),
     "development": dict(regions=8, towers=480, service_plans=6, subscribers=50_000, devices=60_000, network_events=500_000, calls=200_000, data_sessions=300_000, tower_alarms=8_000),
 }
-# Places and plans.
-PLACES = (
-    ("Northport", "Upper Coast", "North", "metro"), ("Easton", "Lower Coast", "East", "metro"), ("Southgate", "Plains", "South", "metro"), ("Westbury", "Hills", "West", "metro"),
-    ("Midvale", "Plains", "Central", "urban"), ("Lakeside", "Hills", "North", "urban"), ("Riverton", "Lower Coast", "South", "urban"), ("Bayview", "Upper Coast", "East", "coastal"),
-)
-PLANS = (
-    ("BASIC", "prepaid", 20, 1000, 1, False, 199), ("PLUS", "prepaid", 60, 3000, 2, True, 399), ("STANDARD", "postpaid", 100, 5000, 3, True, 699),
-    ("PREMIUM", "postpaid", 250, 10000, 4, True, 999), ("BUSINESS", "enterprise", 500, 50000, 5, True, 2499), ("SENSOR", "iot", 5, 0, 1, False, 99),
-)
-
-
-@dataclass(frozen=True)
+PLANTED_ROWS = dict(regions=3, service_plans=3, towers=4, subscribers=4, devices=4, network_events=7, calls=6, data_sessions=6, tower_alarms=6)
+LATE_BY = dict(network_events=49, calls=50, data_sessions=51, tower_alarms=52)
+KEYS = dict(regions="R", service_plans="P", towers="T", subscribers="S", devices="D", network_events="E", calls="C", data_sessions="U", tower_alarms="A")
+
+
 class Draw:
-    """Draws for the rows of one table."""
+    """Values of one table's columns for the row in ``id``."""
 
-    table: str
-    seed: int = SEED
+    def __init__(self, table: str, size: dict[str, int], seed: int):
+        self.table, self.size, self.seed = table, size, seed
 
-    def upto(self, name: str, n: int) -> Column:
-        """0..n-1"""
+    def below(self, name: str, n: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(self.seed), F.lit(self.table), F.lit(name), F.col("id")), F.lit(n))
 
-    def between(self, name: str, low: int, high: int) -> Column:
-        return (self.upto(name, high - low + 1) + low).cast("int")
+    def span(self, name: str, low: int, high: int) -> Column:
+        return self.below(name, high - low + 1) + low
+
+    def of(self, name: str, values: tuple[str, ...]) -> Column:
+        """The first values are the most frequent: value i of n comes with a weight of n - i."""
+        ranks = [i for i in range(len(values)) for _ in range(len(values) - i)]
+        return F.element_at(F.array(*[F.lit(values[i]) for i in ranks]), (self.below(name, len(ranks)) + 1).cast("int"))
+
+    def often(self, name: str, percent: int) -> Column:
+        return self.below(name, 100) < percent
+
+    def key(self, table: str | None = None, row: Column | None = None) -> Column:
+        """The key of a row of a table, of any row by default."""
+        table = table or self.table
+        row = self.below(table, self.size[table]) if row is None else row
+        return F.concat(F.lit(KEYS[table]), F.lpad((row + 1).cast("string"), 8, "0"))
 
-    def chance(self, name: str, percent: float) -> Column:
-        return self.upto(name, 10_000) < int(percent * 100)
+    def name(self, kind: str, row: Column) -> Column:
+        return F.concat(F.lit(kind + " "), (row + 1).cast("string"))
 
-    def one_of(self, name: str, weights: dict[str, int]) -> Column:
-        at, total = self.upto(name, sum(weights.values())), 0
-        out = None
-        for value, weight in weights.items():
-            total += weight
-            out = F.when(at < total, value) if out is None else out.when(at < total, value)
-        return out
+    def moment(self) -> Column:
+        return after(F.lit(START), self.below("moment", DAYS * 86_400))
 
-    def time(self, name: str) -> Column:
-        return F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + self.upto(name, DAYS * 86_400))
+    def day(self) -> Column:
+        return F.date_sub(F.lit(START).cast("date"), self.span("day", 30, 2000).cast("int"))
 
 
-def later(time: Column, seconds: Column) -> Column:
+def after(time: Column, seconds: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(time) + seconds)
 
 
-def numbered(prefix: str, digits: int, n: Column) -> Column:
-    return F.concat(F.lit(prefix), F.lpad((n + 1).cast("string"), digits, "0"))
-
-
-def _dimensions(spark: SparkSession, size: dict[str, int], seed: int) -> dict[str, DataFrame]:
-    places = [(f"REG_{i + 1:03d}", f"{c} {z}", "Testland", s, c, z, t, "UTC", True) for i, (c, s, z, t) in enumerate(PLACES[: size["regions"]])]
-    plans = [(f"PLAN_{n}", n.title(), *rest) for n, *rest in PLANS[: size["service_plans"]]]
-    out = {
-        "regions": spark.createDataFrame(places, TABLES["regions"].schema),
-        "service_plans": spark.createDataFrame(plans, TABLES["service_plans"].schema),
-    }
-    d = Draw("towers", seed)
-    city = F.element_at(F.array(*[F.lit(p[0]) for p in PLACES]), (d.upto("region", size["regions"]) + 1).cast("int"))
-    kind = d.one_of("type", {"urban": 45, "rural": 25, "stadium": 5, "airport": 5, "business_district": 20})
-    out["towers"] = spark.range(size["towers"]).select(
-        numbered("TOWER_", 4, F.col("id")).alias("tower_id"),
-        numbered("REG_", 3, d.upto("region", size["regions"])).alias("region_id"),
-        F.concat_ws("_", city, F.lit("Tower"), F.col("id")).alias("tower_name"),
-        city.alias("city"),
-        (d.between("lat", -60_000, 60_000) / 1000).alias("latitude"),
-        (d.between("lon", -170_000, 170_000) / 1000).alias("longitude"),
-        kind.alias("tower_type"),
-        F.when((kind != "rural") & d.chance("5g", 80), "4G|LTE|5G").otherwise("4G|LTE").alias("supported_networks"),
-        d.between("capacity", 30, 100).alias("capacity_score"),
-        F.date_sub(F.lit(START).cast("date"), d.between("age", 180, 3000)).alias("activation_date"),
-        F.when(d.chance("down", 4), "maintenance").otherwise("active").alias("tower_status"),
-    )
-    d = Draw("subscribers", seed)
-    segment = d.one_of("segment", {"consumer": 45, "student": 15, "professional": 25, "enterprise": 10, "iot": 5})
-    plan = F.element_at(F.array(*[F.lit(p[0]) for p in plans]), (d.upto("plan", len(plans)) + 1).cast("int"))
-    out["subscribers"] = spark.range(size["subscribers"]).select(
-        numbered("SUB_", 6, F.col("id")).alias("subscriber_id"),
-        numbered("REG_", 3, d.upto("region", size["regions"])).alias("home_region_id"),
-        F.when(segment == "iot", plans[-1][0]).otherwise(plan).alias("plan_id"),
-        F.date_sub(F.lit(START).cast("date"), d.between("age", 1, 2500)).alias("activation_date"),
-        d.one_of("status", {"active": 94, "suspended": 4, "churned": 2}).alias("subscriber_status"),
-        segment.alias("customer_segment"),
-        d.one_of("band", dict.fromkeys(("18-25", "26-35", "36-50", "51-65", "65+"), 1)).alias("age_band"),
-    )
-    d = Draw("devices", seed)
-    maker = d.one_of("maker", dict.fromkeys(("Apple", "Samsung", "Xiaomi", "OnePlus", "Motorola", "Nokia"), 1))
-    year = d.between("year", 2018, 2026)
-    owner = F.when(F.col("id") < size["subscribers"], F.col("id")).otherwise(d.upto("owner", size["subscribers"]))
-    out["devices"] = spark.range(size["devices"]).select(
-        numbered("DEV_", 6, F.col("id")).alias("device_id"),
-        numbered("SUB_", 6, owner).alias("subscriber_id"),
-        maker.alias("manufacturer"),
-        F.concat(maker, F.lit("_"), d.between("model", 1, 20)).alias("model"),
-        F.when(maker == "Apple", "iOS").otherwise("Android").alias("os_type"),
-        ((year >= 2021) & d.chance("5g", 75)).alias("supports_5g"),
-        year.alias("release_year"),
-        F.when(d.chance("off", 3), "inactive").otherwise("active").alias("device_status"),
-    )
-    return out
+def _regions(d: Draw) -> dict[str, Column]:
+    row = F.col("id")
+    place = {c: d.name(c.title(), row) for c in ("country", "state", "city", "zone")}
+    return place | {"country": F.lit("Testland"), "zone": d.name("Zone", row % 4), "region_name": d.name("Region", row), "region_type": d.of("type", R.REGION_TYPES), "timezone": F.lit("UTC"), "is_active": F.lit(True)}
 
 
-def _events(spark: SparkSession, size: dict[str, int], seed: int, batch: str) -> dict[str, DataFrame]:
-    def base(table: str) -> tuple[Draw, DataFrame, dict[str, Column]]:
-        d = Draw(table, seed)
-        # The first device of a subscriber has the subscriber's number.
-        who = d.upto("who", size["subscribers"])
-        common = {
-            "subscriber_id": numbered("SUB_", 6, who),
-            "device_id": numbered("DEV_", 6, who),
-            "tower_id": numbered("TOWER_", 4, d.upto("tower", size["towers"])),
-            "network_type": d.one_of("net", {"5G": 45, "4G": 40, "LTE": 15}),
-            "at": d.time("at"),
-            "delay": F.when(d.chance("slow", 4), d.between("long", 60, 360)).otherwise(d.between("short", 1, 15)) * 60,
-            "batch_id": F.lit(batch),
-            "source_file": F.lit(f"{table}.csv"),
-            "schema_version": F.lit("v1"),
-        }
-        return d, spark.range(size[table]).withColumns(common).withColumn("ingestion_timestamp", later(F.col("at"), F.col("delay"))), common
+def _service_plans(d: Draw) -> dict[str, Column]:
+    row = F.col("id")
+    kind = F.element_at(F.array(*map(F.lit, R.PLAN_TYPES)), (row % len(R.PLAN_TYPES) + 1).cast("int"))
+    limits = {"monthly_data_limit_gb": (row + 1) * 40, "voice_limit_minutes": row * 900, "monthly_price": row * 250 + 150, "priority_level": row % 5 + 1}
+    return limits | {"plan_name": d.name("Plan", row), "plan_type": kind, "is_5g_enabled": row % 2 == 1}
 
-    out = {}
-    d, df, _ = base("network_events")
-    kind = d.one_of("type", {"connection_attempt": 35, "handover": 20, "signal_sample": 30, "network_failure": 10, "retry": 5})
-    failed = (kind == "network_failure") | d.chance("fails", 3.5)
-    out["network_events"] = df.withColumns(
-        {
-            "event_id": numbered("EVT_", 8, F.col("id")), "event_timestamp": F.col("at"), "event_type": kind, "signal_strength_dbm": d.between("dbm", -120, -55),
-            "latency_ms": F.when(failed, d.between("slow_ms", 15, 500)).otherwise(d.between("ms", 15, 160)), "status": F.when(failed, "failed").otherwise("success"),
-            "error_code": F.when(failed, d.one_of("error", dict.fromkeys(("TIMEOUT", "WEAK_SIGNAL", "HANDOVER_FAILED", "NETWORK_BUSY"), 1))),
-        }
-    )
-    d, df, _ = base("calls")
-    seconds, status = d.between("seconds", 5, 3600), d.one_of("status", {"completed": 91, "dropped": 6, "failed": 3})
-    out["calls"] = df.withColumns(
-        {
-            "call_id": numbered("CALL_", 8, F.col("id")), "call_start_timestamp": F.col("at"), "call_end_timestamp": later(F.col("at"), seconds), "duration_seconds": seconds,
-            "call_type": d.one_of("type", {"voice": 1, "volte": 1, "wifi_call": 1}), "call_status": status,
-            "drop_reason": F.when(status != "completed", d.one_of("why", dict.fromkeys(("weak_signal", "handover_failed", "network_congestion", "tower_fault"), 1))),
-        }
-    )
-    d, df, _ = base("data_sessions")
-    seconds, status = d.between("seconds", 30, 7200), d.one_of("status", {"completed": 94, "failed": 4, "timeout": 2})
-    out["data_sessions"] = df.withColumns(
-        {
-            "session_id": numbered("SESS_", 8, F.col("id")), "session_start_timestamp": F.col("at"), "session_end_timestamp": later(F.col("at"), seconds),
-            "duration_seconds": seconds, "bytes_uploaded": d.upto("up", 50_000_000) + 1000, "bytes_downloaded": d.upto("down", 750_000_000) + 10_000,
-            "latency_ms": d.between("ms", 15, 140), "session_status": status,
-            "failure_reason": F.when(status != "completed", d.one_of("why", dict.fromkeys(("timeout", "network_busy", "weak_signal", "tower_unavailable"), 1))),
-        }
-    )
-    d, df, _ = base("tower_alarms")
-    severity, solved = d.one_of("severity", {"info": 20, "warning": 45, "major": 25, "critical": 10}), ~d.chance("open", 12)
-    out["tower_alarms"] = df.withColumns(
-        {
-            "alarm_id": numbered("ALARM_", 8, F.col("id")), "alarm_timestamp": F.col("at"), "severity": severity,
-            "alarm_type": d.one_of("type", dict.fromkeys(("POWER_FAILURE", "BACKHAUL_DOWN", "HIGH_TEMPERATURE", "EQUIPMENT_FAULT", "CONGESTION_ALERT"), 1)),
-            "alarm_status": F.when(solved, "resolved").otherwise("open"), "resolved_timestamp": F.when(solved, later(F.col("at"), d.between("for", 600, 28_800))),
-            "description": F.concat(severity, F.lit(" alarm at "), F.col("tower_id")),
-        }
-    )
-    return {t: df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[t].schema.fields]) for t, df in out.items()}
+
+def _towers(d: Draw) -> dict[str, Column]:
+    return {
+        "region_id": d.key("regions"), "tower_name": d.name("Tower", F.col("id")), "city": d.name("City", d.below("regions", d.size["regions"])), "latitude": d.span("lat", -8000, 8000) / 100,
+        "longitude": d.span("lon", -17000, 17000) / 100, "tower_type": d.of("type", R.TOWER_TYPES), "supported_networks": F.when(d.often("5g", 60), "|".join(R.NETWORKS)).otherwise("|".join(n for n in R.NETWORKS if n != "5G")),
+        "capacity_score": d.span("capacity", 20, 100), "activation_date": d.day(), "tower_status": d.of("status", R.TOWER_STATUSES[:2]),
+    }
+
+
+def _subscribers(d: Draw) -> dict[str, Column]:
+    return {
+        "home_region_id": d.key("regions"), "plan_id": d.key("service_plans"), "activation_date": d.day(), "subscriber_status": d.of("status", R.SUBSCRIBER_STATUSES),
+        "customer_segment": d.of("segment", ("consumer", "student", "professional", "enterprise", "iot")), "age_band": d.of("age", ("18-25", "26-35", "36-50", "51-65", "65+")),
+    }
+
+
+def _devices(d: Draw) -> dict[str, Column]:
+    # The first device of a subscriber has the subscriber's number.
+    owner = F.when(F.col("id") < d.size["subscribers"], F.col("id")).otherwise(d.below("owner", d.size["subscribers"]))
+    return {
+        "subscriber_id": d.key("subscribers", owner), "manufacturer": d.name("Maker", d.below("maker", 6)), "model": d.name("Model", d.below("model", 50)), "os_type": d.of("os", R.OS_TYPES),
+        "supports_5g": d.often("5g", 60), "release_year": d.span("year", 2016, 2026), "device_status": d.of("status", R.DEVICE_STATUSES),
+    }
+
+
+def _used(d: Draw) -> dict[str, Column]:
+    who = d.below("who", d.size["subscribers"])
+    return {"subscriber_id": d.key("subscribers", who), "device_id": d.key("devices", who), "tower_id": d.key("towers"), "network_type": d.of("net", R.NETWORKS)}
+
+
+CAUSES = ("weak_signal", "congestion", "timeout", "tower_fault")
+
+
+def _network_events(d: Draw) -> dict[str, Column]:
+    kind = d.of("type", R.NETWORK_EVENT_TYPES)
+    failed = (kind == "network_failure") | d.often("fails", 4)
+    return _used(d) | {
+        "event_timestamp": d.moment(), "event_type": kind, "signal_strength_dbm": d.span("dbm", -118, -52), "latency_ms": d.span("ms", 8, 220), "status": F.when(failed, "failed").otherwise("success"),
+        "error_code": F.when(failed, F.upper(d.of("cause", CAUSES))),
+    }
+
+
+def _lasting(d: Draw, first: str, status: str, statuses: tuple[str, ...], reason: str) -> dict[str, Column]:
+    """Columns of what has a start, an end and a status with a reason."""
+    seconds = d.span("seconds", 3, 5400)
+    state = F.when(d.often("good", 90), "completed").otherwise(d.of("state", statuses[1:]))
+    times = {f"{first}_start_timestamp": d.moment(), f"{first}_end_timestamp": after(d.moment(), seconds), "duration_seconds": seconds}
+    return times | {status: state, reason: F.when(state != "completed", d.of("cause", CAUSES))}
+
+
+def _calls(d: Draw) -> dict[str, Column]:
+    return _used(d) | _lasting(d, "call", "call_status", R.CALL_STATUSES, "drop_reason") | {"call_type": d.of("type", R.CALL_TYPES)}
+
+
+def _data_sessions(d: Draw) -> dict[str, Column]:
+    amounts = {"bytes_uploaded": d.below("up", 40_000_000), "bytes_downloaded": d.below("down", 600_000_000), "latency_ms": d.span("ms", 8, 180)}
+    return _used(d) | _lasting(d, "session", "session_status", R.SESSION_STATUSES, "failure_reason") | amounts
+
+
+def _tower_alarms(d: Draw) -> dict[str, Column]:
+    kind, solved = d.of("type", R.ALARM_TYPES), d.often("solved", 85)
+    return {
+        "tower_id": d.key("towers"), "alarm_timestamp": d.moment(), "alarm_type": kind, "severity": d.of("severity", R.SEVERITIES), "alarm_status": F.when(solved, "resolved").otherwise("open"),
+        "resolved_timestamp": F.when(solved, after(d.moment(), d.span("for", 300, 20_000))), "description": F.concat(F.lit("alarm: "), kind),
+    }
+
+
+MAKERS: dict[str, Callable[[Draw], dict[str, Column]]] = {
+    "regions": _regions, "service_plans": _service_plans, "towers": _towers, "subscribers": _subscribers, "devices": _devices,
+    "network_events": _network_events, "calls": _calls, "data_sessions": _data_sessions, "tower_alarms": _tower_alarms,
+}
 
 
 def clean_tables(spark: SparkSession, profile: str | dict[str, int] = "tiny", seed: int = SEED, batch: str = "BATCH_20260801_001") -> dict[str, DataFrame]:
     size = PROFILES[profile] if isinstance(profile, str) else profile
-    return _dimensions(spark, size, seed) | _events(spark, size, seed, batch)
-
-
-UNKNOWN = "NOWHERE"
-LATE = "late"
-# What is planted: for each table, copies of its n-th row with changes.  LATE adds hours to the ingestion time.
-PLANTED: dict[str, list[tuple[int, dict[str, object]]]] = {
-    "regions": [(0, {}), (1, {"region_id": "REG_BAD_TYPE", "region_type": "orbital"}), (2, {"region_id": "REG_NO_COUNTRY", "country": None})],
-    "service_plans": [(0, {}), (1, {"plan_id": "PLAN_BAD_TYPE", "plan_type": "barter"}), (2, {"plan_id": "PLAN_BAD_PRICE", "monthly_price": -1})],
-    "towers": [
-        (0, {}), (1, {"tower_id": "TOWER_LOST", "region_id": UNKNOWN}), (2, {"tower_id": "TOWER_BAD_GEO", "latitude": 120.0, "longitude": 200.0}),
-        (3, {"tower_id": "TOWER_BAD_NET", "supported_networks": "4G|PIGEON"}),
-    ],
-    "subscribers": [
-        (0, {}), (1, {"subscriber_id": "SUB_LOST", "home_region_id": UNKNOWN}), (2, {"subscriber_id": "SUB_NO_PLAN", "plan_id": UNKNOWN}),
-        (3, {"subscriber_id": "SUB_BAD_STATUS", "subscriber_status": "asleep"}),
-    ],
-    "devices": [
-        (0, {}), (1, {"device_id": "DEV_LOST", "subscriber_id": UNKNOWN}), (2, {"device_id": "DEV_BAD_OS", "os_type": "Abacus"}), (3, {"device_id": "DEV_BAD_YEAR", "release_year": 2050}),
-    ],
-    "network_events": [
-        (0, {}), (1, {"event_id": "EVT_LATE", LATE: 49}), (2, {"event_id": "EVT_LOST", "tower_id": UNKNOWN}), (3, {"event_id": "EVT_BAD_NET", "network_type": "9G"}),
-        (4, {"event_id": "EVT_BAD_LATENCY", "latency_ms": -1}), (5, {"event_id": "EVT_BAD_ORDER", LATE: -1}), (6, {"event_id": "EVT_BAD_SIGNAL", "signal_strength_dbm": -200}),
-    ],
-    "calls": [
-        (0, {}), (1, {"call_id": "CALL_LATE", LATE: 50}), (2, {"call_id": "CALL_LOST", "device_id": UNKNOWN}), (3, {"call_id": "CALL_BAD_ORDER", "call_end_timestamp": "2020-01-01 00:00:00"}),
-        (4, {"call_id": "CALL_NO_REASON", "call_status": "dropped", "drop_reason": None}), (5, {"call_id": "CALL_BAD_STATUS", "call_status": "paused"}),
-    ],
-    "data_sessions": [
-        (0, {}), (1, {"session_id": "SESS_LATE", LATE: 51}), (2, {"session_id": "SESS_LOST", "subscriber_id": UNKNOWN}),
-        (3, {"session_id": "SESS_BAD_ORDER", "session_end_timestamp": "2020-01-01 00:00:00"}), (4, {"session_id": "SESS_BAD_BYTES", "bytes_uploaded": -1}),
-        (5, {"session_id": "SESS_NO_REASON", "session_status": "failed", "failure_reason": None}),
-    ],
-    "tower_alarms": [
-        (0, {}), (1, {"alarm_id": "ALARM_LATE", LATE: 52}), (2, {"alarm_id": "ALARM_LOST", "tower_id": UNKNOWN}), (3, {"alarm_id": "ALARM_BAD_SEVERITY", "severity": "whatever"}),
-        (4, {"alarm_id": "ALARM_BAD_ORDER", "alarm_status": "resolved", "resolved_timestamp": "2020-01-01 00:00:00"}), (5, {"alarm_id": "ALARM_BLANK", "description": " "}),
-    ],
-}
-# Changes of one row of each dimension, with the day they take effect where the table has one.
-CHANGES: dict[str, dict[str, object]] = {
-    "regions": {"region_name": "Northport Renamed", "zone": "Harbour"},
-    "service_plans": {"plan_name": "Basic Again", "monthly_data_limit_gb": 25, "monthly_price": 219},
-    "towers": {"capacity_score": 99, "tower_status": "maintenance", "activation_date": "2026-08-15"},
-    "subscribers": {"plan_id": "PLAN_PLUS", "customer_segment": "professional", "activation_date": "2026-08-15"},
-    "devices": {"model": "Replacement", "supports_5g": True, "device_status": "inactive"},
-}
-
-
-def _changed(row: DataFrame, table: str, changes: dict[str, object]) -> DataFrame:
-    kinds = {f.name: f.dataType for f in TABLES[table].schema.fields}
-    new = {c: F.lit(v).cast(kinds[c]) for c, v in changes.items() if c != LATE}
-    if LATE in changes:
-        new["ingestion_timestamp"] = later(F.col(TABLES[table].event_time), F.lit(changes[LATE] * 3600))
-    return row.withColumns(new) if new else row
-
-
-def plant(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables with bad and late rows added; rows are counted in the order of keys."""
+    out = {}
+    for name, spec in TABLES.items():
+        d = Draw(name, size, seed)
+        made = MAKERS[name](d) | {spec.key: d.key(row=F.col("id"))}
+        if spec.is_event:
+            delay = F.when(d.often("slow", 5), d.span("long", 3_600, 20_000)).otherwise(d.span("short", 30, 900))
+            made |= {"ingestion_timestamp": after(made[spec.event_time], delay), "batch_id": F.lit(batch), "source_file": F.lit(f"{name}.csv"), "schema_version": F.lit("v1")}
+        out[name] = spark.range(size[name]).select(*[made[f.name].cast(f.dataType).alias(f.name) for f in spec.schema.fields])
+    return out
+
+
+# How a predicate of the rules is met: the first pattern that it matches gives the values to set.
+BREAKS: tuple[tuple[str, Callable[[re.Match], dict[str, Column]]], ...] = (
+    (r"_count_\w+ > 1", lambda m: {}),
+    (r"_ref_(\w+) IS NULL", lambda m: {m[1]: F.lit("unheard of")}),
+    (r"(\w+) <> '(\w+)' AND \((\w+) IS NULL", lambda m: {m[1]: F.lit("failed"), m[3]: F.lit(None)}),
+    (r"(\w+) = '(\w+)' AND (\w+) IS NULL", lambda m: {m[1]: F.lit(m[2]), m[3]: F.lit(None)}),
+    (r"\((\w+) IS NULL OR trim", lambda m: {m[1]: F.lit(" ")}),
+    (r"(\w+) IS NULL", lambda m: {m[1]: F.lit(None)}),
+    (r"(\w+) NOT IN", lambda m: {m[1]: F.lit("unsupported")}),
+    (r"split\((\w+),", lambda m: {m[1]: F.lit("4G|other")}),
+    (r"(\w+) < (-?[\d.]+)", lambda m: {m[1]: F.lit(float(m[2]) - 1)}),
+    (r"(\w+) > (-?[\d.]+)", lambda m: {m[1]: F.lit(float(m[2]) + 1)}),
+    (r"(\w+) < (\w+)", lambda m: {m[1]: after(F.col(m[2]), F.lit(-3600))}),
+)
+
+
+def breaking(rule: R.Rule) -> dict[str, Column]:
+    """Values that make a valid row break a rule."""
+    return next(values(m) for pattern, values in BREAKS if (m := re.search(pattern, rule.rejects)))
+
+
+def cases(table: str, rows: int | None = None) -> list[tuple[str, dict[str, Column]]]:
+    """(what it is, values to set) of the rows to plant: the late row of an event table, then one row per rule, of
+    which ``rows`` in all are taken at even distances."""
+    spec, hours = TABLES[table], LATE_BY.get(table)
+    broken = [(rule.reason, breaking(rule)) for rule in R.RULES[table]]
+    late = [("late", {"ingestion_timestamp": after(F.col(spec.event_time), F.lit(hours * 3600))})] if hours else []
+    if rows is not None:
+        keep = rows - len(late)
+        broken = [broken[1 + i * (len(broken) - 1) // keep] for i in range(keep)]
+    return late + broken
+
+
+def plant(tables: dict[str, DataFrame], rows: dict[str, int] | None = PLANTED_ROWS) -> dict[str, DataFrame]:
+    """The tables with bad and late rows added, each a changed copy of another clean row; without ``rows`` one for every rule."""
     out = {}
     for name, df in tables.items():
-        key = TABLES[name].key
-        first = [r[key] for r in df.select(key).orderBy(key).limit(1 + max(n for n, _ in PLANTED[name])).collect()]
-        for n, changes in PLANTED[name]:
-            df = df.unionByName(_changed(tables[name].where(F.col(key) == first[n]), name, changes))
+        spec, todo = TABLES[name], cases(name, rows and rows[name])
+        kinds = {f.name: f.dataType for f in spec.schema.fields}
+        donors = [r[0] for r in df.select(spec.key).orderBy(F.xxhash64(spec.key), spec.key).limit(len(todo)).collect()]
+        for i, (what, values) in enumerate(todo):
+            row = tables[name].where(F.col(spec.key) == donors[i % len(donors)])
+            fresh = {} if what == f"{spec.key}_duplicate" else {spec.key: F.lit(f"{KEYS[name]}-{what}")}
+            df = df.unionByName(row.withColumns({c: v.cast(kinds[c]) for c, v in (fresh | values).items()}))
         out[name] = df
     return out
 
 
-def change_dimensions(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The tables with the first row of each dimension changed."""
+def changed_columns(table: str) -> list[str]:
+    """Tracked columns of a history that may take a new value freely: no reference, no enumeration, no bounds."""
+    spec, bound = TABLES[table], " ".join(r.rejects for r in R.RULES[table] if "trim" not in r.rejects and not r.rejects.endswith("IS NULL"))
+    kinds = {f.name: f.dataType for f in spec.schema.fields}
+    free = [c for c in HISTORIES[table].tracked if c not in {r[0] for r in spec.references} and not re.search(rf"\b{c}\b", bound)]
+    return [c for c in free if isinstance(kinds[c], (T.StringType, T.BooleanType))]
+
+
+def change_dimensions(tables: dict[str, DataFrame], on: str = CHANGED_ON) -> dict[str, DataFrame]:
+    """The tables with the row of the smallest key of each dimension changed as of a day."""
     out = dict(tables)
-    for name, changes in CHANGES.items():
-        key = TABLES[name].key
-        first = tables[name].agg(F.min(key)).first()[0]
-        mine = F.col(key) == first
-        out[name] = tables[name].where(~mine).unionByName(_changed(tables[name].where(mine), name, changes))
+    for name in DIMENSIONS:
+        spec, df = TABLES[name], tables[name]
+        kinds = {f.name: f.dataType for f in spec.schema.fields}
+        new = {c: ~F.col(c) if isinstance(kinds[c], T.BooleanType) else F.concat(c, F.lit(" changed")) for c in changed_columns(name)}
+        new |= {c: F.lit(on).cast("date") for c, kind in kinds.items() if isinstance(kind, T.DateType)}
+        mine = F.col(spec.key) == df.agg(F.min(spec.key)).first()[0]
+        out[name] = df.where(~mine).unionByName(df.where(mine).withColumns(new))
     return out
 
 

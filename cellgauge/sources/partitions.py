@@ -46,9 +46,15 @@ class FileTarget:
         return max(self.min_partitions, min(wanted, self.max_partitions))
 
 
-def dealt(df: DataFrame, partitions: int | None) -> DataFrame:
-    """df in so many partitions, planned without running anything."""
-    return df if partitions is None else df.hint("rebalance") if partitions == 0 else df.repartition(partitions)
+def dealt(df: DataFrame, partitions: int | None, *by: str) -> DataFrame:
+    """df as it should be written, planned without running anything.
+
+    What is written by columns is rebalanced by them, so that a value's rows are in few files of the advisory size and a
+    large value is split; what needs no shuffle is only put together.
+    """
+    if partitions is None:
+        return df
+    return df.hint("rebalance", *by) if by else df.coalesce(partitions)
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int | None:

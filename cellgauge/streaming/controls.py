@@ -30,11 +30,13 @@ def merge_days(store: Store, table: str) -> Callable[[DataFrame, int], None]:
             if store.exists("silver", name):
                 old = store.read("silver", name).where(F.col("event_date").isin(days))
                 merged = latest_per_key(old.unionByName(new, allowMissingColumns=True), spec.key, spec.event_time, flag=False)
-                merged = merged.checkpoint() if store.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else merged.persist()
-                merged.count()  # read in full before the days it came from are replaced
+                # Written in full before the days it came from are replaced: no task reads what another one replaces.
+                store.write(merged, "silver", f"{name}_staged")
+                merged = store.read("silver", f"{name}_staged")
             else:
                 merged = new
             store.write(merged, "silver", name, ("event_date",))
+            store.remove("silver", f"{name}_staged")
         finally:
             new.unpersist()
 

@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cellgauge.catalog import BATCH, TABLES
+from cellgauge.catalog import BATCH, DIMENSIONS, TABLES
+from cellgauge.functions.rules import RULES
+from cellgauge.operators import kpis, quality
 from cellgauge.plans.config import Settings
 from cellgauge.plans.pipeline import Pipeline, run_batch, run_stage
 from cellgauge.sources import generator
@@ -17,7 +19,7 @@ B1, B2 = "BATCH_20260801_001", "BATCH_20260815_002"
 def config(tmp_path_factory):
     base = tmp_path_factory.mktemp("lake")
     zones = ("raw", "bronze", "silver", "gold", "quarantine")
-    return {"paths": {z: str(base / z) for z in zones}, "incremental": {"registry_path": str(base / "runs.json")}, "quality": {"persist_classified_tables": ["calls"]}}
+    return {"paths": {z: str(base / z) for z in zones}, "incremental": {"registry_path": str(base / "runs.json")}}
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +27,22 @@ def clean(spark):
     return {t: df.coalesce(1).persist() for t, df in generator.clean_tables(spark, SIZE).items()}
 
 
+def test_planted_rows(spark, clean):
+    """One row per rule, and each rule rejects its own."""
+    tables = generator.plant(clean, None)
+    found = quality.classify_all(tables)
+    for name in TABLES:
+        rejected = {r for x in found[name].invalid.select("_rejection_reasons").collect() for r in x[0]}
+        assert {rule.reason for rule in RULES[name]} <= rejected, name
+        assert tables[name].count() - clean[name].count() == len(RULES[name]) + (TABLES[name].is_event)
+    for name, judged in quality.classify_all(clean).items():
+        if not name.endswith(("calls", "data_sessions", "tower_alarms")):
+            assert judged.invalid.count() == 0, name
+
+
 def test_run_and_rerun(spark, config, clean):
     tables = generator.plant(clean)
-    assert {t: df.count() - clean[t].count() for t, df in tables.items()} == {t: len(p) for t, p in generator.PLANTED.items()}
+    assert {t: df.count() - clean[t].count() for t, df in tables.items()} == generator.PLANTED_ROWS
     generator.write_raw(tables, config["paths"]["raw"], "messy")
     first = run_batch(config, "messy", B1, spark=spark)
     assert first["status"] == "completed", first
@@ -36,12 +51,14 @@ def test_run_and_rerun(spark, config, clean):
         assert by[name]["rows"] + by[name]["rejected"] == tables[name].count()
     pipeline = Pipeline(Settings.of(config), "messy", spark)
     store = pipeline.store
-    reasons = {r["alarm_id"]: r["_rejection_reasons"] for r in store.read("quarantine", "tower_alarms").collect()}
-    assert "alarm_id" not in reasons and "severity_unsupported" in reasons["ALARM_BAD_SEVERITY"]
-    assert "tower_id_unknown" in reasons["ALARM_LOST"] and "resolved_before_alarm" in reasons["ALARM_BAD_ORDER"] and "description_missing" in reasons["ALARM_BLANK"]
+    for name in ("tower_alarms", "calls"):
+        reasons = {r[TABLES[name].key]: r["_rejection_reasons"] for r in store.read("quarantine", name).collect()}
+        for what, _ in generator.cases(name, generator.PLANTED_ROWS[name])[1:]:
+            if what in {r.reason for r in RULES[name]} and not what.startswith(TABLES[name].key):
+                assert what in reasons[f"{generator.KEYS[name]}-{what}"]
     # both copies of a duplicate region go, and its towers with them
-    assert {r["region_id"] for r in store.read("quarantine", "regions").collect()} == {"REG_001", "REG_BAD_TYPE", "REG_NO_COUNTRY"}
-    assert store.read("silver", "towers").where("region_id = 'REG_001'").count() == 0
+    gone = {r["region_id"] for r in store.read("quarantine", "regions").where("array_contains(_rejection_reasons, 'region_id_duplicate')").collect()}
+    assert len(gone) == 1 and store.read("silver", "towers").where(F.col("region_id").isin(*gone)).count() == 0
     events = store.read("silver", "network_events_enriched")
     assert events.count() == events.select("event_id").distinct().count()
 
@@ -65,7 +82,7 @@ def test_change_of_dimensions(spark, config, clean):
     generator.write_raw(generator.change_dimensions(clean), config["paths"]["raw"], "change")
     assert run_batch(config, "change", B2, spark=spark)["status"] == "completed"
     store = Pipeline(Settings.of(config), "change", spark).store
-    for name, spec in ((n, TABLES[n]) for n in generator.CHANGES):
+    for name, spec in ((n, TABLES[n]) for n in DIMENSIONS):
         versions = store.read("silver", f"{name}_scd2")
         key = versions.agg(F.min(spec.key)).first()[0]
         mine = {str(r["_scd_valid_from"]): (str(r["_scd_valid_to"]), r["_scd_is_current"]) for r in versions.where(F.col(spec.key) == key).collect()}
@@ -86,6 +103,33 @@ def test_affected_tables(spark, config, clean):
     assert pipeline.gold("BATCH_WITHOUT_ROWS") == []
 
 
+def test_moved_day(spark, config, clean):
+    """Records delivered again with another day leave their old day: an incremental run and a full one agree."""
+    profile = "moved"
+    generator.write_raw(clean, config["paths"]["raw"], profile)
+    assert run_batch(config, profile, B1, spark=spark)["status"] == "completed"
+    times = {c: F.col(c) + F.expr("INTERVAL 10 DAYS") for c in ("event_timestamp", "ingestion_timestamp")}
+    again = clean["network_events"].orderBy("event_id").limit(5).withColumns(times)
+    generator.write_raw(clean | {"network_events": again}, config["paths"]["raw"], profile)
+    assert run_batch(config, profile, B2, tables=["network_events"], spark=spark)["status"] == "completed"
+    pipeline = Pipeline(Settings.of(config), profile, spark)
+    rows = lambda t: sorted(map(str, pipeline.store.read("gold", t).drop("_gold_created_at").collect()))
+    part = {t: rows(t) for t in kpis.KPIS}
+    for t in kpis.KPIS:
+        pipeline.store.remove("gold", t)
+    pipeline.gold()
+    assert part == {t: rows(t) for t in kpis.KPIS}
+    assert pipeline.store.read("gold", "tower_daily_kpis").agg(F.sum("total_network_events")).first()[0] == SIZE["network_events"]
+
+
+def test_failed_run_keeps_its_stages(spark, config, clean, monkeypatch):
+    generator.write_raw(clean, config["paths"]["raw"], "broken")
+    monkeypatch.setattr(Pipeline, "histories", lambda *a: 1 / 0)
+    out = run_batch(config | {"audit": {"count_bronze_inputs": True, "count_quality_outputs": False}}, "broken", B1, spark=spark)
+    assert out["status"] == "failed" and set(out["stages"]) == {"bronze", "quality"}
+    assert {w["rows"] for w in out["stages"]["bronze"]} == set(SIZE.values()) and {w["rows"] for w in out["stages"]["quality"]} == {None}
+
+
 def test_failure_is_recorded(spark, config):
     out = run_batch(config, "nothing_there", B1, spark=spark)
     assert out["status"] == "failed" and out["error_message"]

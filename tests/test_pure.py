@@ -1,6 +1,6 @@
 """Parts that need no data: partitions, dependencies, registry, settings, catalogue."""
 
-import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 
 import pytest
@@ -9,7 +9,7 @@ from cellgauge.catalog import DIMENSIONS, EVENTS, HISTORIES, TABLES
 from cellgauge.functions.rules import RULES
 from cellgauge.plans import graph
 from cellgauge.plans.config import Settings
-from cellgauge.plans.registry import FAILED, Registry, summary
+from cellgauge.plans.registry import COMPLETED, FAILED, RUNNING, RunLog, plain
 from cellgauge.sources.partitions import MB, FileTarget
 from cellgauge.sources.storage import join_path
 
@@ -59,22 +59,30 @@ def test_catalogue():
         assert set(spec.tracked) | {spec.key} == {f.name for f in TABLES[name].schema}
 
 
-def test_registry(tmp_path):
+def test_run_log(tmp_path):
     path = tmp_path / "deep" / "runs.json"
-    registry = Registry(path)
-    a = registry.start("p", "B1")
-    assert not registry.has_completed("p", "B1")
-    registry.complete(a.run_id, {"bronze": []})
-    assert registry.has_completed("p", "B1") and not registry.has_completed("q", "B1")
-    b = registry.start("p", "B2")
-    assert registry.fail(b.run_id, "no").status == FAILED
-    assert [r["status"] for r in json.loads(path.read_text())["runs"]] == ["completed", "failed"]
-    with pytest.raises(ValueError):
-        registry.complete("unknown", {})
-    c = registry.start("p", "B3")
-    Registry(path, stale_after=timedelta(0)).start("p", "B4")
-    assert {r.run_id: r.status for r in registry.runs()}[c.run_id] == FAILED
-    assert summary([a, 3])[1] == {"value": "3"}
+    log = RunLog(path)
+    a = log.begin("p", "B1")
+    assert log.run(a)["status"] == RUNNING and not log.finished("p", "B1")
+    log.stage(a, "bronze", [3])
+    assert log.end(a)["stages"] == {"bronze": [{"value": "3"}]}
+    assert log.finished("p", "B1") and not log.finished("q", "B1")
+    b = log.begin("p", "B2")
+    log.stage(b, "bronze", [])
+    ended = log.end(b, ValueError("no"))
+    assert (ended["status"], ended["error_message"], ended["stages"]) == (FAILED, "no", {"bronze": []}) and ended["failed_at"] >= ended["started_at"]
+    assert [r["status"] for r in log.runs()] == [COMPLETED, FAILED] and len(path.read_text().splitlines()) == 6
+    c = log.begin("p", "B3")
+    assert RunLog(path, stale_after=timedelta(0)).run(c)["status"] == FAILED and log.run(c)["status"] == RUNNING
+    assert plain([a, 3])[1] == {"value": "3"}
+
+
+def test_runs_at_the_same_time(tmp_path):
+    log = RunLog(tmp_path / "runs.json")
+    with ThreadPoolExecutor(8) as pool:
+        ids = list(pool.map(lambda i: log.begin("p", f"B{i}"), range(40)))
+        list(pool.map(log.end, ids))
+    assert {r["run_id"]: r["status"] for r in log.runs()} == dict.fromkeys(ids, COMPLETED)
 
 
 def test_settings():

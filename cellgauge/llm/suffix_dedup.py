@@ -12,8 +12,10 @@ with longest-common-prefix values; a stack scan of these gives the tree of commo
 intervals.  The contexts up to the anchor, read backwards, are sorted alike.  A repeat of
 LENGTH bytes is an interval at some depth whose members agree in the rest to the left;
 members are split by that left extension, which yields all groups of equal strings with
-all their occurrences.  All but the first occurrence of a group are removed.  A group
-whose members go on to differ at both ends is a maximal repeat (``maximal_repeats``).
+all members.  All but the first occurrence of a group are removed.  The suffix array
+holds one context of each class, so what it leaves are the groups of equal strings of
+LENGTH bytes among classes; maximal repeats as such are not an output, and strings whose
+whole contexts are equal, as in copies of documents, are decided by the hashes of classes.
 
 Contexts of one hash are sorted in one task while they are at most GROUP_ROWS; beyond
 that their windows are hashed one by one and grouped by hash, with the least occurrence

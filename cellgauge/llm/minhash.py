@@ -126,10 +126,10 @@ def _linkable(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _mixed(rows)
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, centre_rounds: int = CENTRE_ROUNDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, centre_rounds: int = CENTRE_ROUNDS, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
+    scratch = scratch or Scratch(spark, "minhash")
     texts = docs.select("doc_id", "text")
     id_type = texts.schema["doc_id"].dataType.simpleString()
     marks = scratch.save(texts.mapInArrow(_sketched, f"doc_id {id_type}, n long, h1 long, h2 long, bands array<long>"), "marks")
@@ -196,9 +196,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, centre_rounds: int
 def without_copies(docs: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, but for near copies; the smallest doc_id of each group stays.
 
-    Documents are judged by their whole texts first, as ``whole`` (doc_id, text) has them if
-    every line of a row of docs comes from there: what is left of a copy whose lines went
-    looks like no copy any more.  Then what stays is judged by its own texts.  Rows that
+    Documents are judged by their whole texts first, at PERCENT, as ``whole`` (doc_id, text) has
+    them if every line of a row of docs comes from there: what is left of a copy whose lines
+    went looks like no copy any more.  Then what stays is judged by its own texts, at ``percent``.  Rows that
     repeat a doc_id and its text are one document and become one row; a null doc_id stays.
     """
     scratch = Scratch(docs.sparkSession, "copies")
@@ -208,8 +208,10 @@ def without_copies(docs: DataFrame, whole: DataFrame, percent: int = PERCENT) ->
 
     same = lines(docs, "id", "mine").join(lines(whole, "of", "all"), (F.col("id") == F.col("of")) & (F.size(F.array_except("mine", "all")) == 0))
     same = scratch.save(same.groupBy("id").agg(F.count(F.lit(1)).alias("rows")), "same")
-    groups = near_duplicates(whole.select("doc_id", "text"), percent).where("n_shingles > 0").select("doc_id", "component_id").distinct()
+    first_pass = Scratch(docs.sparkSession, "copies")
+    groups = near_duplicates(whole.select("doc_id", "text"), max(percent, PERCENT), scratch=first_pass).where("n_shingles > 0").select("doc_id", "component_id").distinct()
     groups = scratch.save(groups.join(same, F.col("doc_id") == F.col("id")).select("doc_id", "component_id"), "groups")
+    first_pass.clear()
     first = groups.groupBy("component_id").agg(F.min("doc_id").alias("first"))
     gone = groups.join(first, "component_id").where("doc_id > first").select("doc_id").distinct()
     left = scratch.save(docs.join(gone, "doc_id", "left_anti").select(*docs.columns), "left")

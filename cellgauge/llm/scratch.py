@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -73,5 +74,14 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+    def clear(self) -> None:
+        """Deletes all tables, and lets Spark's cleaner take the shuffle files of plans that nobody holds any more."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.java.lang.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .components import connected_components
+from .components import connected_components, extended_components
 from .scratch import Scratch
 
 SHINGLE = 5
@@ -166,26 +166,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, centre_rounds: int
 
     # A member that shares crowded buckets is close to many: the best first centre.
     links = centred(buckets.join(ids, "id").withColumn("c", F.col("id")), F.struct("crowd", F.xxhash64("id")), "0")
+    comp = connected_components(links, scratch, "round0_")
     for r in range(1, centre_rounds + 1):
-        comp = connected_components(links, scratch, f"round{r}_")
         known = comp.select(F.col("node").alias("id"), "component")
         left = buckets.join(known, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         left = scratch.save(_mixed(left, 3), f"left{r}")  # a bucket of two was settled by its only pair
         if left.isEmpty():
             break
         if r < centre_rounds:
-            links = links.union(centred(left, F.xxhash64("key", "id", F.lit(r)), str(r)))
+            comp = extended_components(comp, centred(left, F.xxhash64("key", "id", F.lit(r)), str(r)), scratch, f"round{r}_")
             continue
+        rows = left.count()
         for i in range(PRUNE_ROUNDS):
             left = scratch.save(_linkable(left, sets, percent), f"linkable{i}")
+            before, rows = rows, left.count()
+            if rows in (0, before):  # nothing went, so nothing goes in a further round
+                break
+        if not rows:
+            break
         keys = left.groupBy("id").agg(F.collect_list("key").alias("keys"))
         left = left.join(keys, "id")
         x = left.select("key", F.col("id").alias("x"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("keys").alias("ka"))
         y = left.select("key", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("keys").alias("kb"))
         enough = F.lit(100 + percent) * F.least("sa", "sb") >= F.lit(percent) * (F.col("na") + F.col("nb"))
         once = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")  # in the first bucket that both share
-        links = links.union(verified(x.join(y, "key").where((F.col("x") < F.col("y")) & (F.col("ca") != F.col("cb")) & enough & once), "rest"))
-        comp = connected_components(links, scratch, "last_")
+        rest = verified(x.join(y, "key").where((F.col("x") < F.col("y")) & (F.col("ca") != F.col("cb")) & enough & once), "rest")
+        comp = extended_components(comp, rest, scratch, "last_")
 
     known = comp.select(F.col("node").alias("rep"), "component")
     out = members.join(known, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))

@@ -54,16 +54,26 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 
 class Scratch:
-    """Written tables that cut lineage: a lost executor costs a reread, not a recomputation."""
+    """Written tables that cut lineage: a lost executor costs a reread, not a recomputation.
+
+    Every SWEEP tables Spark's cleaner is let at what earlier plans left: their shuffle files, which
+    otherwise lie on the executors' disks until the driver's heap is full, and their broadcasts.
+    """
+
+    SWEEP = 4
 
     def __init__(self, spark: SparkSession, owner: str):
         self.spark = spark
+        self.saved = 0
         ship(spark)
         self.root = f"{shared_folder(spark)}/{owner}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path, compression=compression)
+        self.saved += 1
+        if self.saved % self.SWEEP == 0:
+            self.sweep()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -73,14 +83,16 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
 
+    def sweep(self) -> None:
+        """Lets Spark's cleaner take the shuffle files and broadcasts of plans that nobody holds any more."""
+        gc.collect()
+        self.spark._jvm.java.lang.System.gc()
 
     def clear(self) -> None:
-        """Deletes all tables, and lets Spark's cleaner take the shuffle files of plans that nobody holds any more."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        """Deletes all tables, and what their plans left."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.java.lang.System.gc()
+        self.sweep()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -114,13 +114,14 @@ def _mixed(rows: DataFrame, least: int = 2) -> DataFrame:
 def _linkable(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Rows that may still have a link, with s, the document's shingles that some other component has too.
 
-    An overlap is at most the smaller s of both sides, and must be percent / (100 + percent) of the summed sizes.
+    An overlap is at most the smaller s of both sides, and must be percent / 100 of either size and
+    percent / (100 + percent) of the summed sizes.
     """
     members = rows.select("id", "c").distinct()
     grams = members.join(sets, "id").select("id", "c", F.explode("set").alias("g"))
     common = grams.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
     found = grams.join(common, "g").groupBy("id").agg(F.count("*").alias("s"))
-    rows = rows.drop("s").join(found, "id")
+    rows = rows.drop("s").join(found, "id").where(F.col("s") * 100 >= F.col("n") * percent)
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
     rows = rows.join(least, "key").where(F.lit(100 + percent) * F.col("s") >= F.lit(percent) * (F.col("n") + F.col("least"))).drop("least")
     return _mixed(rows)

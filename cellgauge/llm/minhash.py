@@ -111,20 +111,20 @@ def _mixed(rows: DataFrame, least: int = 2) -> DataFrame:
     return rows.join(mixed.where(F.expr("lo < hi") & (F.col("k") >= least)).select("key"), "key")
 
 
-def _linkable(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows that may still have a link, with s, the document's shingles that some other component has too.
+def _linkable(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Documents (id, n, c, keys) that may still have a link, with s, the shingles that some other component has too, and the keys of buckets in which one may be.
 
     An overlap is at most the smaller s of both sides, and must be percent / 100 of either size and
-    percent / (100 + percent) of the summed sizes.
+    percent / (100 + percent) of the summed sizes.  The first is judged by document, the second by bucket.
     """
-    members = rows.select("id", "c").distinct()
-    grams = members.join(sets, "id").select("id", "c", F.explode("set").alias("g"))
+    grams = docs.select("id", "c").join(sets, "id").select("id", "c", F.explode("set").alias("g"))
     common = grams.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g")
     found = grams.join(common, "g").groupBy("id").agg(F.count("*").alias("s"))
-    rows = rows.drop("s").join(found, "id").where(F.col("s") * 100 >= F.col("n") * percent)
-    least = rows.groupBy("key").agg(F.min("n").alias("least"))
-    rows = rows.join(least, "key").where(F.lit(100 + percent) * F.col("s") >= F.lit(percent) * (F.col("n") + F.col("least"))).drop("least")
-    return _mixed(rows)
+    docs = docs.drop("s").join(found, "id").where(F.col("s") * 100 >= F.col("n") * percent)
+    rows = docs.select("id", "n", "c", "s", F.explode("keys").alias("key"))
+    least = rows.groupBy("key").agg(F.min("n").alias("least"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "least")
+    rows = rows.join(least, "key").where(F.lit(100 + percent) * F.col("s") >= F.lit(percent) * (F.col("n") + F.col("least")))
+    return rows.groupBy("id", "n", "c", "s").agg(F.collect_list("key").alias("keys"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, centre_rounds: int = CENTRE_ROUNDS, scratch: Scratch | None = None) -> DataFrame:
@@ -177,16 +177,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, centre_rounds: int
         if r < centre_rounds:
             comp = extended_components(comp, centred(left, F.xxhash64("key", "id", F.lit(r)), str(r)), scratch, f"round{r}_")
             continue
-        rows = left.count()
+        # From here on a row is a document with its buckets; n is the size of the set that is compared.
+        left = left.groupBy("id", "c").agg(F.collect_list("key").alias("keys")).join(sets.select("id", F.size("set").cast("long").alias("n")), "id")
+        left = scratch.save(left, "open")
+        rows = left.agg(F.sum(F.size("keys"))).first()[0]
         for i in range(PRUNE_ROUNDS):
             left = scratch.save(_linkable(left, sets, percent), f"linkable{i}")
-            before, rows = rows, left.count()
+            before, rows = rows, left.agg(F.sum(F.size("keys"))).first()[0] or 0
             if rows in (0, before):  # nothing went, so nothing goes in a further round
                 break
         if not rows:
             break
-        keys = left.groupBy("id").agg(F.collect_list("key").alias("keys"))
-        left = left.join(keys, "id")
+        left = _mixed(left.select("id", "n", "c", "s", "keys", F.explode("keys").alias("key")))
         x = left.select("key", F.col("id").alias("x"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("keys").alias("ka"))
         y = left.select("key", F.col("id").alias("y"), F.col("n").alias("nb"), F.col("c").alias("cb"), F.col("s").alias("sb"), F.col("keys").alias("kb"))
         enough = F.lit(100 + percent) * F.least("sa", "sb") >= F.lit(percent) * (F.col("na") + F.col("nb"))

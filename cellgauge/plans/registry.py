@@ -31,10 +31,18 @@ class RunLog:
             log.write(json.dumps(line, default=str) + "\n")
         return run_id
 
+    def lines(self) -> list[str]:
+        """The whole lines: none is read while it is being written."""
+        if not self.path.exists():
+            return []
+        with self.path.open() as log:
+            fcntl.flock(log, fcntl.LOCK_SH)
+            return log.read().splitlines()
+
     def runs(self) -> list[dict[str, Any]]:
         """Every run in the order of starts, as its lines leave it; one that never ended counts as failed once it is stale."""
         found: dict[str, dict[str, Any]] = {}
-        for text in self.path.read_text().splitlines() if self.path.exists() else ():
+        for text in self.lines():
             line = json.loads(text)
             event, at = line.pop("event"), line.pop("at")
             run = found.setdefault(line["run_id"], {"stages": {}, "error_message": None, "completed_at": None, "failed_at": None})

@@ -1,5 +1,8 @@
 """Parts that need no data: partitions, dependencies, registry, settings, catalogue."""
 
+import fcntl
+import json
+import time
 from concurrent.futures import ThreadPoolExecutor
 from datetime import timedelta
 
@@ -85,6 +88,22 @@ def test_runs_at_the_same_time(tmp_path):
     assert {r["run_id"]: r["status"] for r in log.runs()} == dict.fromkeys(ids, COMPLETED)
 
 
+def test_reads_wait_for_a_line_being_written(tmp_path):
+    log = RunLog(tmp_path / "runs.json")
+    a = log.begin("p", "B1")
+    line = json.dumps({"run_id": a, "event": COMPLETED, "at": "2026-01-01T00:00:00+00:00"}) + "\n"
+    with log.path.open("a") as out, ThreadPoolExecutor(1) as pool:
+        fcntl.flock(out, fcntl.LOCK_EX)
+        out.write(line[:40])
+        out.flush()
+        got = pool.submit(log.run, a)
+        time.sleep(0.3)
+        out.write(line[40:])
+        out.flush()
+        fcntl.flock(out, fcntl.LOCK_UN)
+        assert got.result()["status"] == COMPLETED
+
+
 def test_settings():
     s = Settings.of({"paths": {"raw": "r"}, "spark": {"shuffle_partitions": 8}, "bronze": {"output_partitioning": {"strategy": "auto", "min_partitions": 2}}, "quality": {"output_partitions": 3}})
     assert s.shuffle_partitions == 8 and s.bronze.partitions(1) == 2 and s.quality.partitions(1) == 3 and s.silver.partitions(1) is None
